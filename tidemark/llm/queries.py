@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, token_files
+from .common import scratch_path
 
 
 def _tokenizer() -> str:
@@ -32,6 +33,12 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(_table(spark, sf_dir, "documents"), scratch_path(spark, "ids"), _tokenizer())
+    back = token_files.read_token_files(spark, files)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer())
     return coded.select(
@@ -44,6 +51,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_token_files": op2_token_files,
         "op10_bpe_codec": op10_bpe_codec,
         "op7_exact_dedup": op7_exact_dedup,
     }
