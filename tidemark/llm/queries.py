@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, token_files
+from . import bpe, exact_dedup, lang_id, token_files
 from .common import scratch_path
 
 
@@ -39,6 +39,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lang_id.train(docs.filter(lang_id.trains_on(F.col("doc_id"))))
+    found = lang_id.predict(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (~lang_id.trains_on(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer())
     return coded.select(
@@ -51,6 +58,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op8_lang_id": op8_lang_id,
         "op2_token_files": op2_token_files,
         "op10_bpe_codec": op10_bpe_codec,
         "op7_exact_dedup": op7_exact_dedup,
