@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lang_id, token_files
+from . import bpe, exact_dedup, lang_id, simhash, token_files
 from .common import scratch_path
 
 
@@ -46,6 +46,11 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~lang_id.trains_on(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer())
     return coded.select(
@@ -58,6 +63,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op5_simhash": op5_simhash,
         "op8_lang_id": op8_lang_id,
         "op2_token_files": op2_token_files,
         "op10_bpe_codec": op10_bpe_codec,
