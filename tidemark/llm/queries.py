@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lang_id, simhash, token_files
+from . import bpe, decontaminate, exact_dedup, html_extract, lang_id, simhash, token_files
 from .common import scratch_path
 
 
@@ -33,6 +33,11 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(_table(spark, sf_dir, "documents"), scratch_path(spark, "ids"), _tokenizer())
     back = token_files.read_token_files(spark, files)
@@ -68,6 +73,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_html_extract": op1_html_extract,
         "op9_decontaminate": op9_decontaminate,
         "op5_simhash": op5_simhash,
         "op8_lang_id": op8_lang_id,
