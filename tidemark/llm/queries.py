@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, lang_id, simhash, token_files
+from . import bpe, decontaminate, exact_dedup, html_extract, lang_id, pii, simhash, token_files
 from .common import scratch_path
 
 
@@ -51,6 +51,12 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~lang_id.trains_on(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -73,6 +79,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_pii": op3_pii,
         "op1_html_extract": op1_html_extract,
         "op9_decontaminate": op9_decontaminate,
         "op5_simhash": op5_simhash,
