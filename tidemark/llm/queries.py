@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, lang_id, pii, simhash, token_files
+from . import bpe, decontaminate, exact_dedup, html_extract, lang_id, line_dedup, pii, simhash, token_files
 from .common import scratch_path
 
 
@@ -62,6 +62,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_runs(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
@@ -79,6 +83,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op6_line_dedup": op6_line_dedup,
         "op3_pii": op3_pii,
         "op1_html_extract": op1_html_extract,
         "op9_decontaminate": op9_decontaminate,
