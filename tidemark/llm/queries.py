@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, lang_id, line_dedup, pii, simhash, token_files
+from . import bloom_lm, bpe, decontaminate, exact_dedup, html_extract, lang_id, line_dedup, pii, simhash, token_files
 from .common import scratch_path
 
 
@@ -57,6 +57,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))
 
 
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -83,6 +87,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op4_bloom_lm": op4_bloom_lm,
         "op6_line_dedup": op6_line_dedup,
         "op3_pii": op3_pii,
         "op1_html_extract": op1_html_extract,
