@@ -152,3 +152,149 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_fp = linked.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     table = scratch_table(nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "classes")
     return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- groups by shingle similarity -----------------------------------------------------
+#
+# For a similarity of word-shingle sets a wider fingerprint is filed in the same kind of
+# index: `words64` 64-bit words give 8 * words64 byte positions, and pseudo-random tuples of
+# `tuple_bytes` of them the posting lists. The sketch is taken over shorter shingles than the
+# similarity, since one changed word then flips fewer bits: at a similarity of 0.8 over five
+# words about a tenth of its bits differ, and one tuple in thirteen agrees. Pairs that meet are tallied over all positions, and those
+# short of `least_shared` bytes or beyond `most_bits` differing bits are dropped; the rest
+# are verified on their exact shingle sets.
+
+
+def random_tuples(size: int, count: int, width: int, seed: int = 7) -> list[tuple[int, ...]]:
+    """Distinct tuples of `width` positions, each position used about equally often."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < count:
+        order = rng.permutation(size)
+        for i in range(0, size - width + 1, width):
+            t = tuple(sorted(order[i : i + width].tolist()))
+            if t not in out and len(out) < count:
+                out.append(t)
+    return out
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def _row_keys(doc_id: str, text: str) -> list[Column]:
+    whole = whole_text(text)
+    return [F.xxhash64(doc_id, whole).alias("k1"), F.xxhash64(whole, F.length(whole), doc_id).alias("k2")]
+
+
+def _sketches(width: int, sketch_width: int, words64: int):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = part.column("__whole").to_pylist()
+                fps = [fingerprint(t, sketch_width, words64) for t in texts]
+                names = [xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), pa.array(fps, pa.binary()), pa.array(names, pa.binary())], names=["doc_id", "k1", "k2", "fp", "name"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, width).astype(np.uint32) for t in batch.column("__whole").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                both = np.concatenate((np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)))
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                union = len(both) - same
+                keep.append(not union or same >= least * union - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _differing_bits(a: str, b: str, words64: int) -> Column:
+    word = lambda c, i: F.conv(F.hex(F.substring(F.col(c), 8 * i + 1, 8)), 16, -10).cast("long")
+    return sum(F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(words64))
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, sketch_width: int = 2, words64: int = 4, tuples: int = 64, tuple_bytes: int = 3, least_shared: int = 5, most_bits: int = 56, long_list: int = 64) -> DataFrame:
+    """(k1, k2, doc_id, n, keeper): one row per distinct (doc_id, text) with how often it came and whether it stays for its group.
+
+    Documents link when their sets of `width`-word shingles have a Jaccard similarity of
+    `similarity` or more; a group is a connected component, and its smallest doc_id stays
+    (null ids last). Lists of up to `long_list` members are paired off entirely; in longer
+    ones every member is held against the list's leader, another one in each list, and
+    those unlike it are listed again among themselves until the lists are short.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *_row_keys(doc_id, text), whole_text(text).alias("__whole"))
+    schema = rows.drop("__whole").schema.add("fp", "binary").add("name", "binary")
+    marked = scratch_table(rows.mapInArrow(_sketches(width, sketch_width, words64), schema), "sketches")
+    nodes = marked.groupBy("name").agg(F.min("fp").alias("fp"), F.min(F.struct("k1", "k2")).alias("k"))
+    nodes = scratch_table(nodes.select("name", "fp", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), F.monotonically_increasing_id().alias("node")), "nodes")
+
+    entries = F.array(*[F.concat(F.lit(bytearray([i])), _key("fp", t)) for i, t in enumerate(random_tuples(8 * words64, tuples, tuple_bytes))])
+    postings = nodes.select("node", F.explode(entries).alias("key"))
+    sizes = scratch_table(postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
+    member = scratch_table(postings.join(sizes, "key"), "members")
+    wanted = member.select("node").distinct().join(nodes, "node").select("node", "k1", "k2")
+    texts = rows.join(scratch_table(wanted, "wanted"), ["k1", "k2"]).groupBy("node").agg(F.first("__whole").alias("__whole"))
+    sets = scratch_table(texts.mapInArrow(_sets(width), "node long, shingles binary"), "sets")
+    prints = scratch_table(nodes.select("node", "fp"), "prints")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+        pairs = pairs.filter((shared_bytes("fa", "fb", 8 * words64) >= least_shared) & (_differing_bits("fa", "fb", words64) <= most_bits)).select("a", "b")
+        pairs = scratch_table(pairs, "pairs")
+        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        return scratch_table(full.select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long"), "links")
+
+    links = None
+    while True:
+        short = member.filter(F.col("n") <= long_list)
+        pairs = short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+        long = member.filter(F.col("n") > long_list)
+        if long.isEmpty():
+            found = verified(pairs)
+            links = found if links is None else links.unionByName(found)
+            break
+        lead = scratch_table(long.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("l")).select("key", F.col("l.node").alias("lead")), "leaders")
+        led = scratch_table(long.join(lead, "key").select("key", "node", "lead", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), "led")
+        stars = led.filter("a <> b").select("a", "b")
+        found = verified(pairs.unionByName(stars).distinct())
+        links = found if links is None else links.unionByName(found)
+        rest = led.filter("a <> b").join(found.withColumn("ok", F.lit(1)), ["a", "b"], "left").filter("ok IS NULL").select("key", "node")
+        rest = scratch_table(rest, "rest")
+        again = scratch_table(rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
+        member = scratch_table(rest.join(again, "key"), "members")
+
+    linked = components(links).withColumnRenamed("node", "n_")
+    named = nodes.select("name", "node").join(linked, F.col("node") == F.col("n_"), "left").select("name", F.coalesce("component", "node").alias("component"))
+    placed = marked.join(scratch_table(named, "named"), "name").select("doc_id", "k1", "k2", "component")
+    placed = scratch_table(placed.groupBy("doc_id", "k1", "k2", "component").agg(F.count("*").alias("n")), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "k2")
+    first = scratch_table(placed.groupBy("component").agg(F.min(order).alias("w")).select("component", F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2")), "keepers")
+    return placed.join(first, "component").select("k1", "k2", "doc_id", "n", ((F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).alias("keeper"))
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The input rows with one document of each group, all columns as they came. Rows that repeat both doc_id and text leave one."""
+    placed = scratch_table(similar_groups(docs, doc_id, text, **options), "groups")
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), *_row_keys(doc_id, text))
+    gone = placed.filter("NOT keeper OR n > 1").select("k1", "k2")
+    often = placed.filter("keeper AND n > 1").select("k1", "k2")
+    single = rows.join(gone, ["k1", "k2"], "left_anti").select("row")
+    one = rows.join(often, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(one).select("row.*")
