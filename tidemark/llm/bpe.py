@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import packed, unpacked, whole_text
 from .words import PieceIds, byte_letters
 
 #: Texts are encoded in buffers of about so many characters.
@@ -155,7 +155,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     `path` is the tokenizer file as every worker sees it.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in (keep or [doc_id])], whole_text(text).alias("__whole"))
+    kept = docs.select(packed(docs, keep or [doc_id], "ids", "decoded"), whole_text(text).alias("__whole"))
     schema = kept.drop("__whole").schema.add("ids", "binary").add("decoded", "string")
 
     def run(batches):
@@ -170,9 +170,8 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                     done += sizes[hi]
                     hi += 1
                 ids, rows = worker.encode(texts[lo:hi].to_pylist())
-                cols = [c.slice(lo, hi - lo) for n, c in zip(batch.schema.names, batch.columns) if n != "__whole"]
-                cols += [pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array([worker.spell(r).decode() for r in rows], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*[n for n in batch.schema.names if n != "__whole"], "ids", "decoded"])
+                cols = [batch.column("__row").slice(lo, hi - lo), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array([worker.spell(r).decode() for r in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["__row", "ids", "decoded"])
                 lo = hi
 
-    return kept.mapInArrow(run, schema)
+    return unpacked(kept.mapInArrow(run, schema), "ids", "decoded")

@@ -61,6 +61,21 @@ def take(docs: DataFrame, **named: Column) -> DataFrame:
     return docs.select(*[c.alias(k) for k, c in named.items()])
 
 
+def packed(docs: DataFrame, keep: list[str] | None, *results: str) -> Column:
+    """The columns to hand through as one struct, `__row`, so that no name of theirs can clash.
+
+    Columns named like an operator's `results` give way to them.
+    """
+    names = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in names], *([] if names else [F.lit(0).alias("__none")])).alias("__row")
+
+
+def unpacked(df: DataFrame, *results: str) -> DataFrame:
+    """The columns of `__row`, then the results."""
+    names = [c for c in df.schema["__row"].dataType.names if c != "__none"]
+    return df.select(*[F.col("__row").getField(c).alias(c) for c in names], *results)
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser of splitmix64, elementwise on uint64."""
     with np.errstate(over="ignore"):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, packed, unpacked
 
 TOKEN = re.compile(r"[^\W_]+")
 HIT = "struct<item_id:long,coverage:double,n_tiles:int,longest:int>"
@@ -196,8 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     """The `keep` columns (all by default) with `leaks`, an array of (item_id, coverage, n_tiles, longest), empty for clean rows."""
     if not 0 < threshold <= 1 or min_match < 1:
         raise ValueError("threshold lies in (0, 1] and min_match is positive")
-    names = docs.columns if keep is None else keep
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("__whole"), F.from_json(F.lit("[]"), f"array<{HIT}>").alias("leaks"))
+    out = docs.select(packed(docs, keep, "leaks"), F.col(text).cast("string").alias("__whole"), F.from_json(F.lit("[]"), f"array<{HIT}>").alias("leaks"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32())]))
     for block in blocks(benchmark, item_id, item_text, min_match, block_tokens):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -213,7 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                         column = pa.array(found, kind)
                     else:
                         column = part.column("leaks").cast(kind)
-                    yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], part.column("__whole"), column], names=[*names, "__whole", "leaks"])
+                    yield pa.RecordBatch.from_arrays([part.column("__row"), part.column("__whole"), column], names=["__row", "__whole", "leaks"])
 
         out = out.mapInArrow(run, out.schema)
-    return out.drop("__whole")
+    return unpacked(out, "leaks")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_table
+from .common import packed, scratch_table, unpacked
 
 # Fixed values of HTML: element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -122,6 +122,8 @@ def parse(page: str) -> Node:
             elif two.isascii() and two.isalpha() and tag_at is _TAG and page.find(">", lt) >= 0:
                 tag_at = _BARE_TAG  # a quote is never closed; ignore quotes from here on
                 at = lt
+            elif two.isascii() and two.isalpha() and page.find(">", lt) < 0:
+                at = end  # a tag that the page's end cuts off
             else:
                 stack[-1].kids.append("<")
                 at = lt + 1
@@ -288,15 +290,12 @@ def _occurrences(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 2 else pa.int64()) for i, c in enumerate(cols)], names=["k1", "k2", "host", "page", "h"])
 
 
-def _texts(names):
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for page, marks in zip(batch.column("__html").to_pylist(), batch.column("marks").to_pylist()):
-                texts.append("\n".join(blocks(parse(page), frozenset(marks or ()))) if page else "")
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
-
-    return run
+def _texts(batches):
+    for batch in batches:
+        texts = []
+        for page, marks in zip(batch.column("__html").to_pylist(), batch.column("marks").to_pylist()):
+            texts.append("\n".join(blocks(parse(page), frozenset(marks or ()))) if page else "")
+        yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], names=["__row", "text"])
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
@@ -313,6 +312,6 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     template = scratch_table(counts.join(hosts, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "h"), "template")
     marks = occ.filter("h IS NOT NULL").select("k1", "k2", "host", "h").join(template, ["host", "h"])
     marks = scratch_table(marks.groupBy("k1", "k2").agg(F.collect_set("h").alias("marks")), "marks")
-    rows = pages.select(*[F.col(f"`{c}`") for c in names], F.col(html).cast("string").alias("__html"), *key)
-    joined = rows.join(marks, ["k1", "k2"], "left").select(*[F.col(f"`{c}`") for c in names], "__html", "marks")
-    return joined.mapInArrow(_texts(names), joined.drop("__html", "marks").schema.add("text", "string"))
+    rows = pages.select(packed(pages, names, "text"), F.col(html).cast("string").alias("__html"), *key)
+    joined = rows.join(marks, ["k1", "k2"], "left").select("__row", "__html", "marks")
+    return unpacked(joined.mapInArrow(_texts, joined.select("__row").schema.add("text", "string")), "text")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_table
+from .common import packed, scratch_table, unpacked
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words longer than this are scored by n-grams only and not remembered.
@@ -129,8 +129,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     key = id(shared)
-    kept = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)], F.col(text).cast("string").alias("__whole"))
-    names = [n for n in kept.columns if n != "__whole"]
+    kept = docs.select(packed(docs, keep, "lang_pred", "score"), F.col(text).cast("string").alias("__whole"))
     schema = kept.drop("__whole").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
@@ -142,9 +141,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 langs, scores = scorer.score(part.column("__whole").to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["__row", "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return unpacked(kept.mapInArrow(run, schema), "lang_pred", "score")
 
 
 def trains_on(doc_id: Column, folds: int = 4, held: int = 2) -> Column:

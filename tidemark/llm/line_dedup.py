@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_table, whole_text
+from .common import packed, scratch_table, unpacked, whole_text
 
+RESULTS = ("clean_text", "n_lines", "n_removed")
 BLANKS = " \t\n\v\f\r"
 
 
@@ -113,33 +114,29 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
         k += 1
 
 
-def _without(names: list[str]):
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts, lines, removed = [], [], []
-                for text, cuts in zip(part.column("__whole").to_pylist(), part.column("cuts").to_pylist()):
-                    rows = text.split("\n")
-                    gone = np.zeros(len(rows) + 1, np.int64)
-                    for c in cuts or ():
-                        gone[c["i"]] += 1
-                        gone[c["i"] + c["m"]] -= 1
-                    gone = np.cumsum(gone)[:-1] > 0
-                    texts.append("\n".join([r for r, g in zip(rows, gone) if not g]) if cuts else text)
-                    lines.append(len(rows))
-                    removed.append(int(gone.sum()))
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "clean_text", "n_lines", "n_removed"])
-
-    return run
+def _without(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            texts, lines, removed = [], [], []
+            for text, cuts in zip(part.column("__whole").to_pylist(), part.column("cuts").to_pylist()):
+                rows = text.split("\n")
+                gone = np.zeros(len(rows) + 1, np.int64)
+                for c in cuts or ():
+                    gone[c["i"]] += 1
+                    gone[c["i"] + c["m"]] -= 1
+                gone = np.cumsum(gone)[:-1] > 0
+                texts.append("\n".join([r for r, g in zip(rows, gone) if not g]) if cuts else text)
+                lines.append(len(rows))
+                removed.append(int(gone.sum()))
+            yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=["__row", *RESULTS])
 
 
 def remove_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns (all by default) with clean_text, n_lines and n_removed."""
-    names = docs.columns if keep is None else keep
     runs = repeated_runs(positions(docs, doc_id, text, min_words))
     cuts = scratch_table(runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "m")).alias("cuts")), "cuts")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], *_keyed(docs, doc_id, text)[1:], whole_text(text).alias("__whole"))
-    joined = rows.join(cuts, ["k1", "k2"], "left").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "__whole", "cuts")
+    rows = docs.select(packed(docs, keep, *RESULTS), *_keyed(docs, doc_id, text)[1:], whole_text(text).alias("__whole"))
+    joined = rows.join(cuts, ["k1", "k2"], "left").select("__row", "__whole", "cuts")
     schema = joined.drop("__whole", "cuts").schema.add("clean_text", "string").add("n_lines", "long").add("n_removed", "long")
-    return joined.mapInArrow(_without(names), schema)
+    return unpacked(joined.mapInArrow(_without, schema), *RESULTS)

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_table, whole_text
+from .common import packed, scratch_table, unpacked, whole_text
 
 # Kinds in their listed order; patterns; word lists of the labelers.
 KINDS = ("email", "ip", "card", "phone")
@@ -167,12 +167,11 @@ _SPAN = "array<struct<start:int,kind:int,end:int,strict:boolean,base:boolean,vot
 
 
 def propose(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns with `spans`: every proposed span with its votes."""
-    names = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(text).alias("__whole"))
+    """(__row, spans): the `keep` columns in a struct, and every proposed span with its votes."""
+    rows = docs.select(packed(docs, keep, "base", "spans"), whole_text(text).alias("__whole"))
     sets = [(k, STRICT[k], True) for k in KINDS] + [(k, p, False) for k, p in LOOSE.items()]
     parts = [F.coalesce(_spans(k, p, s, F.col("__whole")).cast(_SPAN), F.array().cast(_SPAN)) for k, p, s in sets]
-    return rows.select(*[F.col(f"`{c}`") for c in names], F.concat(*parts).alias("spans"))
+    return rows.select("__row", F.concat(*parts).alias("spans"))
 
 
 # ---- reliabilities and classifier -----------------------------------------------------
@@ -239,8 +238,7 @@ def _accepted(w: list[float]) -> set[tuple]:
 
 def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns with `base` and `spans`: arrays of (start, kind, end), `kind` an index of KINDS, in order."""
-    names = docs.columns if keep is None else keep
-    found = scratch_table(propose(docs, text, names), "spans")
+    found = scratch_table(propose(docs, text, keep), "spans")
     counted = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.strict", "s.votes").count().collect()
     patterns = sorted((r["kind"], r["strict"], tuple(r["votes"]), r["count"]) for r in counted)
     weights = fit(patterns, estimate(patterns))
@@ -248,10 +246,10 @@ def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
     code = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.concat_ws(",", s["votes"].cast("array<string>")))
     short = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), short))
-    rows = found.select(*[F.col(f"`{c}`") for c in names], base.alias("base"), F.filter("spans", lambda s: ~s["strict"]).alias("__loose"))
+    rows = found.select("__row", base.alias("base"), F.filter("spans", lambda s: ~s["strict"]).alias("__loose"))
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.filter("__loose", lambda s: code(s).isin(good) & clear(s)) if good else F.filter("__loose", lambda s: F.lit(False))
-    return rows.select(*[F.col(f"`{c}`") for c in names], "base", F.array_sort(F.concat("base", F.transform(added, short))).alias("spans"))
+    return unpacked(rows, "base", F.array_sort(F.concat("base", F.transform(added, short))).alias("spans"))
 
 
 def spelled(spans: str) -> Column:
