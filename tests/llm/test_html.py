@@ -18,6 +18,8 @@ from tidemark.llm import html_extract as H
         ("", []),
         ("<" * 50000, ["<" * 50000]),
         ('<a b="' * 3000, []),
+        ("<div class='page sidebar-left'><main class='no-sidebar'><p>in</p><div class=sidebarBox>x</div></main><div id=cookiebar>y</div></div>", ["in"]),
+        ("<article class='post comments-open'><p>a</p></article><article class='comment'><p>b</p></article>", ["a"]),
         ("<nav>menu</nav><article><h1>T</h1><p>one</p><aside>x</aside><script>var a='</p>'</script><p>two</p></article><footer>f</footer>", ["T", "one", "two"]),
     ],
 )

@@ -64,6 +64,12 @@ DROP_WORDS = set(
     "comment comments commentlist disqus respond replies reply skip".split()
 )
 PAGE_HEADER_WORDS = {"header"}
+#: Class names that begin like this describe an element's surroundings, not the element.
+ABOUT_OTHERS = set("has no with without not is".split())
+#: Of an article or main element only these whole names count.
+NO_ARTICLE = set("comment reply ad advert advertisement sponsored promo related teaser".split())
+#: Longer words that begin like this count as well.
+DROP_STEMS = ("advert", "cookie", "commentlist", "commentform", "commentbox", "sponsor", "newsletter", "sidebar", "breadcrumb", "footer", "navbar", "navmenu", "subscri")
 #: Containers that may be deleted inside an article when they recur; its text blocks may not.
 CONTAINERS = set("div section aside nav ul ol dl menu table form header footer figure details fieldset".split())
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead tfoot figcaption caption".split())
@@ -77,10 +83,10 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash", "n_text")
+    __slots__ = ("tag", "attrs", "kids", "hash", "n_text", "holds")
 
     def __init__(self, tag: str, attrs: str):
-        self.tag, self.attrs, self.kids, self.hash, self.n_text = tag, attrs, [], 0, 0
+        self.tag, self.attrs, self.kids, self.hash, self.n_text, self.holds = tag, attrs, [], 0, 0, False
 
 
 def _close(node: Node) -> None:
@@ -94,6 +100,7 @@ def _close(node: Node) -> None:
         else:
             parts.append(str(k.hash))
             n += k.n_text
+            node.holds |= k.holds or k.tag in ("article", "main")
     node.n_text = n
     node.hash = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -183,15 +190,23 @@ def is_furniture(node: Node, inside: bool) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
         elif name == "role":
-            if value.lower() in DROP_ROLES:
+            if value.lower() in DROP_ROLES and not node.holds:
                 return True
-        elif node.tag not in ("article", "main") or not inside:
-            words = {w.lower() for w in _NAME_WORDS.findall(value)}
-            if words & DROP_WORDS and not (node.tag in ("main",)) or (not inside and words & PAGE_HEADER_WORDS):
+        elif node.tag in ("article", "main"):
+            if NO_ARTICLE & set(value.lower().split()):
                 return True
+        elif not node.holds and any(_names_furniture(n, inside) for n in value.split()):
+            return True
     return False
 
 
+def _names_furniture(name: str, inside: bool) -> bool:
+    words = [w.lower() for w in _NAME_WORDS.findall(name)]
+    if not words or words[0] in ABOUT_OTHERS:
+        return False
+    return any(w in DROP_WORDS or w.startswith(DROP_STEMS) or (not inside and w in PAGE_HEADER_WORDS) for w in words)
+
+
 def _is_main(node: Node) -> bool:
     if node.tag in ("article", "main"):
         return True
