@@ -34,6 +34,7 @@ def test_baseline_is_exact_and_the_model_beats_it(spark, sf):
 
 def test_filter_reads_counts_back(spark):
     df = spark.createDataFrame([("a b a b a c",)] * 20 + [("a b d",)], "text string").repartition(3)
+    df = df.selectExpr("'1' AS doc_id", "true AS train", "text").mapInArrow(bloom_lm._to_blocks, bloom_lm._BLOCK_ROW).filter("ids IS NOT NULL")
     data = bloom_lm.build_filter(df, 1000)
     f = bloom_lm.CountFilter(*data)
     h = np.array([bloom_lm.token_hash(t) for t in ("a", "b", "c", "d", "zz")], np.uint64)

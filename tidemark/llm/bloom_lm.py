@@ -35,13 +35,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, mix64, scratch_table, whole_text
+from .common import LOWER_AZ, mix64, release, scratch_table, whole_text
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: The end token. No word holds a space, so it is no word.
 END = " "
-BLOCK_TOKENS, BLOCK_TYPES = 1_000_000, 200_000
+BLOCK_TOKENS, BLOCK_TYPES = 2_000_000, 400_000
 PROBES = 3
 
 
@@ -117,47 +117,33 @@ def quantise(counts: np.ndarray) -> np.ndarray:
 
 
 def _packets(segments: int):
-    """Counts of token and pair keys of a stretch of training texts, a compressed packet for each segment."""
+    """Counts of token and pair keys of each block's training texts, a compressed packet for each segment."""
 
     def run(batches):
-        from collections import Counter
-
-        zip_ = zstandard.ZstdCompressor(level=1)
-        memo: dict[str, int] = {}
-        held: list[np.ndarray] = []
-        n = 0
-
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            seg, _ = _slots(keys, 1, 0, segments, 8)
-            cuts = np.searchsorted(seg, np.arange(segments + 1))
-            out = []
-            for s in range(segments):
-                lo, hi = cuts[s], cuts[s + 1]
-                if hi > lo:
-                    gaps = np.diff(keys[lo:hi], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-                    out.append((s, int(hi - lo), zip_.compress(np.ascontiguousarray(gaps).tobytes()), zip_.compress(np.minimum(counts[lo:hi], 2**32 - 1).astype("<u4").tobytes())))
-            s, m, k, c = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(m, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["seg", "n", "keys", "counts"])
-
+        zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                texts = [split_tokens(t) for t in batch.column("text").slice(lo, 500).to_pylist()]
-                flat = [w for t in texts for w in t]
-                if len(memo) > 500_000:
-                    memo.clear()
-                for w in set(flat).difference(memo):
-                    memo[w] = token_hash(w)
-                h = np.fromiter(map(memo.__getitem__, flat), np.uint64, len(flat))
-                starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
-                held += [mix64(h, 5), pair_keys(h, starts)]
-                n += len(flat)
-                if n >= 3_000_000:
-                    yield flush()
-                    n = 0
-        if held:
-            yield flush()
+            for row in batch.to_pylist():
+                block = Block(row, unzip)
+                ids, first = block.training()
+                if not len(ids):
+                    continue
+                pairs = pair_keys(block.hashes[ids], first)
+                n = np.bincount(ids, minlength=len(block.hashes))
+                keys, counts = np.unique(pairs, return_counts=True)
+                used = np.flatnonzero(n)
+                keys, counts = np.concatenate((mix64(block.hashes[used], 5), keys)), np.concatenate((n[used], counts))
+                by = np.argsort(keys)
+                keys, counts = keys[by], counts[by]
+                seg, _ = _slots(keys, 1, 0, segments, 8)
+                cuts = np.searchsorted(seg, np.arange(segments + 1))
+                out = []
+                for s in range(segments):
+                    lo, hi = cuts[s], cuts[s + 1]
+                    if hi > lo:
+                        gaps = np.diff(keys[lo:hi], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+                        out.append((s, int(hi - lo), zip_.compress(np.ascontiguousarray(gaps).tobytes()), zip_.compress(np.minimum(counts[lo:hi], 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())))
+                s, m, k, c = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(m, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["seg", "n", "keys", "counts"])
 
     return run
 
@@ -193,7 +179,7 @@ def _merge(segment_bits: int):
                     parts, waiting = [], 0
                 seg = s
                 gaps = np.frombuffer(unzip.decompress(k), np.uint8).reshape(8, -1).T
-                parts.append((np.cumsum(np.ascontiguousarray(gaps).view("<u8").reshape(-1), dtype=np.uint64), np.frombuffer(unzip.decompress(c), "<u4").astype(np.int64)))
+                parts.append((np.cumsum(np.ascontiguousarray(gaps).view("<u8").reshape(-1), dtype=np.uint64), np.ascontiguousarray(np.frombuffer(unzip.decompress(c), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)))
                 waiting += n
                 if waiting > 4_000_000:
                     parts = [fold(parts)]
@@ -204,8 +190,8 @@ def _merge(segment_bits: int):
     return run
 
 
-def build_filter(training: DataFrame, tokens: int, bits_per_entry: int = 10, max_filter_bytes: int = 96 << 20, segment_bytes: int = 1 << 19) -> tuple:
-    """Count and quantise all tokens and pairs of `training.text`; returns (filter bytes, segments, bits per segment).
+def build_filter(blocks: DataFrame, tokens: int, bits_per_entry: int = 10, max_filter_bytes: int = 96 << 20, segment_bytes: int = 1 << 19) -> tuple:
+    """Count and quantise all tokens and pairs of the blocks' training rows; returns (filter bytes, segments, bits per segment).
 
     `tokens`, the number of training tokens, bounds the entries: a pair and a token level for each.
     """
@@ -214,7 +200,7 @@ def build_filter(training: DataFrame, tokens: int, bits_per_entry: int = 10, max
     segments = max(1, -(-bits // segment_bits))
     if segments == 1:
         segment_bits = max(1 << 16, 1 << (bits - 1).bit_length())
-    packets = training.mapInArrow(_packets(segments), "seg long, n long, keys binary, counts binary")
+    packets = blocks.mapInArrow(_packets(segments), "seg long, n long, keys binary, counts binary")
     dealt = packets.repartition(segments, "seg").sortWithinPartitions("seg")
     merged = dealt.mapInPandas(_merge(segment_bits), "seg long, bits binary, entries long")
     data = bytearray(segments * segment_bits // 8)
@@ -225,51 +211,67 @@ def build_filter(training: DataFrame, tokens: int, bits_per_entry: int = 10, max
 
 # ---- blocks of documents --------------------------------------------------------------
 
-_BLOCK_ROW = "block long, doc_id string, train boolean, ids binary, token string, idx int, n long"
+#: A block in one row, and its tokens in rows of their own: their index and their training count.
+_BLOCK = ["block", "doc_ids", "train", "sizes", "ids", "hashes"]
+_BLOCK_ROW = "block long, doc_ids array<string>, train array<boolean>, sizes array<long>, ids binary, hashes binary, token string, idx int, n long"
+_KINDS = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
 
 
 def _to_blocks(batches):
-    """Rows of two kinds: documents as indexes into their block's tokens, and the block's tokens with training counts."""
+    """Each text is split once; all later steps read token indexes."""
     from pyspark import TaskContext
 
     zip_ = zstandard.ZstdCompressor(level=1)
+    names = [f.split()[0] for f in _BLOCK_ROW.split(", ")]
     block = TaskContext.get().partitionId() << 32
-    index: dict[str, int] = {}
-    docs: list[tuple] = []
-    total = 0
+
+    class Index(dict):
+        def __missing__(self, word):
+            self[word] = n = len(self)
+            return n
+
+    index, docs, total = Index(), [], 0
 
     def flush():
-        n = np.zeros(len(index), np.int64)
-        rows = []
-        for doc_id, train, ids in docs:
-            if train:
-                n += np.bincount(ids, minlength=len(index))
-            rows.append((doc_id, train, zip_.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())))
-        size = len(index)
-        doc = pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.bool_(), pa.binary()))], pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64())], names=_NAMES)
-        tok = pa.RecordBatch.from_arrays([pa.array([block] * size, pa.int64()), pa.nulls(size, pa.string()), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.binary()), pa.array(list(index), pa.string()), pa.array(np.arange(size), pa.int32()), pa.array(n, pa.int64())], names=_NAMES)
-        return doc, tok
+        ids = np.concatenate([d[2] for d in docs])
+        sizes = np.array([len(d[2]) for d in docs])
+        train = np.array([d[1] for d in docs])
+        n = np.bincount(ids[np.repeat(train, sizes)], minlength=len(index))
+        words, size = list(index), len(index)
+        hashes = np.fromiter(map(token_hash, words), np.uint64, size)
+        packed = zip_.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+        one = [[block], [[d[0] for d in docs]], [train.tolist()], [sizes.tolist()], [packed], [hashes.astype("<u8").tobytes()]]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(one, _KINDS)], *[pa.nulls(1, k) for k in _KINDS[6:]]], names=names)
+        tokens = [pa.array(words, pa.string()), pa.array(np.arange(size), pa.int32()), pa.array(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block), pa.int64()), *[pa.nulls(size, k) for k in _KINDS[1:6]], *tokens], names=names)
 
     for batch in batches:
         for doc_id, train, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "train", "text"))):
             words = split_tokens(text)
             if docs and (total + len(words) > BLOCK_TOKENS or len(index) > BLOCK_TYPES):
                 yield from flush()
-                block, index, docs, total = block + 1, {}, [], 0
-            for w in set(words).difference(index):
-                index[w] = len(index)
+                block, docs, total = block + 1, [], 0
+                index.clear()
             docs.append((doc_id, train, np.fromiter(map(index.__getitem__, words), np.int64, len(words))))
             total += len(words)
     if docs:
         yield from flush()
 
 
-_NAMES = ["block", "doc_id", "train", "ids", "token", "idx", "n"]
+class Block:
+    """A block read back: token indexes of all its documents in a row, and its tokens' hashes."""
 
+    def __init__(self, row: dict, unzip):
+        raw = np.frombuffer(unzip.decompress(row["ids"]), np.uint8).reshape(4, -1)
+        self.ids = np.ascontiguousarray(raw.T).view("<u4").reshape(-1).astype(np.int64)
+        self.hashes = np.frombuffer(row["hashes"], "<u8").astype(np.uint64)
+        self.sizes, self.train, self.doc_ids = np.array(row["sizes"]), np.array(row["train"], bool), row["doc_ids"]
+        self.first = np.cumsum(np.concatenate(([0], self.sizes[:-1])))
 
-def _unpack(ids: bytes, unzip) -> np.ndarray:
-    raw = np.frombuffer(unzip.decompress(ids), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").reshape(-1).astype(np.int64)
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """Token indexes of the training documents, and where each begins."""
+        sizes = self.sizes[self.train]
+        return self.ids[np.repeat(self.train, self.sizes)], np.cumsum(np.concatenate(([0], sizes[:-1]))).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
 
 
 class Model:
@@ -327,69 +329,59 @@ def _ratio_bins(bigram: np.ndarray, unigram: np.ndarray) -> np.ndarray:
     return np.where(bigram > 0, np.clip(at, 1, _BINS), 0).astype(np.int64)
 
 
-def _block_reader(docs: pd.DataFrame, replies: pd.DataFrame):
-    """Token hashes and exact counts of a block by index, and its documents."""
-    size = int(replies["idx"].max()) + 1
-    hashes, exact = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    at = replies["idx"].to_numpy()
-    hashes[at], exact[at] = replies["h"].to_numpy(), replies["c"].to_numpy()
-    return hashes.view(np.uint64), exact
-
-
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, **filter_options) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from the rows whose fold isn't `held`."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), trains_on(F.col(doc_id), folds, held).alias("train"), whole_text(text).alias("text"))
-    blocks = scratch_table(rows.mapInArrow(_to_blocks, _BLOCK_ROW), "blocks")
-    held_docs = blocks.filter("ids IS NOT NULL").select("block", "doc_id", "train", "ids")
-    asked = blocks.filter("token IS NOT NULL").select("token", "block", "idx", "n")
-    counts = scratch_table(asked.groupBy("token").agg(F.sum("n").alias("c"), F.collect_list(F.struct("block", "idx")).alias("at")), "counts")
+    table = scratch_table(rows.mapInArrow(_to_blocks, _BLOCK_ROW), "blocks")
+    blocks = table.filter("ids IS NOT NULL").select(*_BLOCK)
+    asked = table.filter("token IS NOT NULL").select("token", "block", "idx", "n")
+    counts = scratch_table(asked.groupBy("token").agg(F.sum("n").alias("c"), F.collect_list(F.struct("block", "idx")).alias("at")).select("c", "at"), "counts")
+    release(spark)
     sums = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(sums[0]), int(sums[1])
-    filter_ = build_filter(rows.filter("train").select("text"), n, **filter_options)
-    shared = spark.sparkContext.broadcast(filter_)
-    replies = counts.select(F.xxhash64("token").alias("h"), "c", F.explode("at").alias("a")).select(F.col("a.block").alias("block"), F.col("a.idx").alias("idx"), "h", "c")
-    grouped = scratch_table(held_docs, "docs").groupBy("block").cogroup(scratch_table(replies, "replies").groupBy("block"))
-    flat = np.full(len(LEVELS) + 1, 0.0)
-
-    def bins(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a[a["train"]]
-        if not len(a):
-            return pd.DataFrame({"level": [], "bin": [], "n": []}).astype("int64")
-        hashes, _ = _block_reader(a, b)
-        model, unzip = Model(CountFilter(*shared.value), n, v, flat), zstandard.ZstdDecompressor()
-        parts = [_unpack(x, unzip) for x in a["ids"]]
-        first = np.cumsum([0] + [len(p) for p in parts[:-1]])
-        history, bigram, unigram = model.parts(hashes, np.concatenate(parts), first, own=1)
-        code, times = np.unique(history * (_BINS + 1) + _ratio_bins(bigram, unigram), return_counts=True)
-        return pd.DataFrame({"level": code // (_BINS + 1), "bin": code % (_BINS + 1), "n": times})
-
-    seen = grouped.applyInPandas(bins, "level long, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()
+    shared = spark.sparkContext.broadcast(build_filter(blocks, n, **filter_options))
+
+    def bins(batches):
+        unzip, flat = zstandard.ZstdDecompressor(), np.zeros(len(LEVELS) + 1)
+        model = Model(CountFilter(*shared.value), n, v, flat)
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row, unzip)
+                ids, first = block.training()
+                if not len(ids):
+                    continue
+                history, bigram, unigram = model.parts(block.hashes, ids, first, own=1)
+                code, times = np.unique(history * (_BINS + 1) + _ratio_bins(bigram, unigram), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code // (_BINS + 1), pa.int64()), pa.array(code % (_BINS + 1), pa.int64()), pa.array(times, pa.int64())], names=["level", "bin", "n"])
+
+    seen = blocks.mapInArrow(bins, "level long, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()
+    release(spark)
     weights = fit_weights({(r["level"], r["bin"]): r["n"] for r in seen})
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        hashes, exact = _block_reader(a, b)
-        model, unzip = Model(CountFilter(*shared.value), n, v, weights), zstandard.ZstdDecompressor()
-        base = np.log10((exact + 1) / (n + (v + 1)))
-        parts = [_unpack(x, unzip) for x in a["ids"]]
-        size = np.array([len(p) for p in parts])
-        first = np.cumsum(np.concatenate(([0], size[:-1])))
-        ids = np.concatenate(parts)
-        logs = model.logs(hashes, ids, first)
-        return pd.DataFrame(
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        row = a.to_pylist()[0]
+        block = Block(row, zstandard.ZstdDecompressor())
+        exact = np.zeros(len(block.hashes), np.int64)
+        exact[b.column("idx").to_numpy()] = b.column("c").to_numpy()
+        model = Model(CountFilter(*shared.value), n, v, weights)
+        base = np.log10((exact + 1) / (n + (v + 1)))[block.ids]
+        logs = model.logs(block.hashes, block.ids, block.first)
+        ends = block.first + block.sizes
+        return pa.table(
             {
-                "doc_id": a["doc_id"].to_numpy(),
-                "held_out": ~a["train"].to_numpy(bool),
-                "n_tokens": size,
-                "n_known": np.add.reduceat((exact[ids] > 0).astype(np.int64), first),
-                "train_tokens": n,
-                "base_score": [math.fsum(base[p]) for p in parts],
-                "score": np.add.reduceat(logs, first),
+                "doc_id": pa.array(block.doc_ids, pa.string()),
+                "held_out": pa.array(~block.train),
+                "n_tokens": pa.array(block.sizes, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((exact[block.ids] > 0).astype(np.int64), block.first), pa.int64()),
+                "train_tokens": pa.array(np.full(len(ends), n), pa.int64()),
+                "base_score": pa.array([math.fsum(base[lo:hi]) for lo, hi in zip(block.first.tolist(), ends.tolist())], pa.float64()),
+                "score": pa.array(np.add.reduceat(logs, block.first), pa.float64()),
             }
         )
 
-    # ids travel as text: pandas would turn a column with nulls into floats
-    scored = grouped.applyInPandas(run, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    replies = counts.select("c", F.explode("at").alias("a")).select(F.col("a.block").alias("block"), F.col("a.idx").alias("idx"), "c")
+    grouped = blocks.groupBy("block").cogroup(replies.groupBy("block"))
+    # ids travel as text: a null among integers would turn them into floats
+    scored = grouped.applyInArrow(run, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

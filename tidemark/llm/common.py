@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,16 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over.
+
+    They go when the driver's collector finds their handles dead, and a driver with little
+    to do seldom collects; a long job calls this between its steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_text(name: str = "text") -> Column:
     """The text column with null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
