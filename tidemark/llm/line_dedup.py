@@ -137,6 +137,7 @@ def remove_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     runs = repeated_runs(positions(docs, doc_id, text, min_words))
     cuts = scratch_table(runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "m")).alias("cuts")), "cuts")
     rows = docs.select(packed(docs, keep, *RESULTS), *_keyed(docs, doc_id, text)[1:], whole_text(text).alias("__whole"))
-    joined = rows.join(cuts, ["k1", "k2"], "left").select("__row", "__whole", "cuts")
+    # the cuts grow with the corpus: one plan at every size, not a broadcast while they are few
+    joined = rows.join(cuts.hint("merge"), ["k1", "k2"], "left").select("__row", "__whole", "cuts")
     schema = joined.drop("__whole", "cuts").schema.add("clean_text", "string").add("n_lines", "long").add("n_removed", "long")
     return unpacked(joined.mapInArrow(_without, schema), *RESULTS)
