@@ -2,7 +2,7 @@
 
 Training counts words, and the character n-grams of words with a space at both ends, per
 language over a bounded sample of labelled rows (`max_rows_per_lang`, picked by a hash of the
-row). The model keeps the most frequent `max_words` words and `max_grams` n-grams of each
+row) of the `max_langs` most frequent languages. The model keeps the most frequent `max_words` words and `max_grams` n-grams of each
 length for each language, so its size is bounded by the number of languages alone.
 
 A known word scores the log relative frequency that each language gives it. An unseen word
@@ -31,12 +31,15 @@ LONG_WORD = 48
 MEMORY = 300_000
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_rows_per_lang: int = 4000, max_words: int = 15_000, max_grams: int = 6_000, longest: int = 5) -> dict:
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_rows_per_lang: int = 4000, max_langs: int = 1000, max_words: int = 15_000, max_grams: int = 6_000, longest: int = 5) -> dict:
     """Fit on rows with a non-null language. Returns {"langs": [...], "words": {...}, "grams": {n: {...}}} of log10 frequencies."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
-    part = F.least(F.lit(1.0), F.lit(float(max_rows_per_lang)) / F.col("count"))
-    sample = rows.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < part * (1 << 30))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    if not sizes:
+        return {"langs": [], "words": {}, "grams": [{} for _ in range(longest)]}
+    # the shares are literals of the plan: no row moves to be sampled
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_rows_per_lang / n))])
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item"))
     words = scratch_table(words.groupBy("lang", "item").agg(F.count("*").alias("n")), "lang-words")
     padded = words.filter(F.length("item") <= LONG_WORD).select("lang", "n", F.concat(F.lit(" "), "item", F.lit(" ")).alias("w"))
