@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, whole_text
+from .common import packed, unpacked, whole_text, worker_state
 from .words import PieceIds, byte_letters
 
 #: Texts are encoded in buffers of about so many characters.
@@ -137,9 +136,16 @@ def _left_to_right(at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.nd
     return at[keep], after[keep]
 
 
-@lru_cache(maxsize=2)
+#: Pieces that a worker remembers, with ids and spelling: about 250 MB.
+REMEMBERED = 250_000
+
+
 def _worker(path: str) -> PieceIds:
     """One encoder per worker process; its memory of pieces outlives a task."""
+    return worker_state(("bpe", path), lambda: _encoder(path))
+
+
+def _encoder(path: str) -> PieceIds:
     from tokenizers import Tokenizer
 
     table = MergeTable(path)
@@ -147,7 +153,7 @@ def _worker(path: str) -> PieceIds:
     spelling = table.spelling + [b""] * 64
     for i, t in tokenizer.get_added_tokens_decoder().items():
         spelling[i] = t.content.encode()
-    return PieceIds(tokenizer, table.encode_words, decoded=spelling)
+    return PieceIds(tokenizer, table.encode_words, limit=REMEMBERED, decoded=spelling)
 
 
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -87,6 +87,18 @@ def unpacked(df: DataFrame, *results: str) -> DataFrame:
     return df.select(*[F.col("__row").getField(c).alias(c) for c in names], *results)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a worker process remembers between tasks: one thing, so that a later operator's memory takes the place of an earlier one's."""
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser of splitmix64, elementwise on uint64."""
     with np.errstate(over="ignore"):

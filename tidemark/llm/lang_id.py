@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import packed, scratch_table, unpacked
+from .common import packed, scratch_table, unpacked, worker_state
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words longer than this are scored by n-grams only and not remembered.
 LONG_WORD = 48
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_rows_per_lang: int = 4000, max_langs: int = 1000, max_words: int = 15_000, max_grams: int = 6_000, longest: int = 5) -> dict:
@@ -124,22 +124,16 @@ class Scorer:
         return names, scores
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns (all of `docs` by default) with lang_pred and score."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    key = id(shared)
+    key = shared._jbroadcast.id()
     kept = docs.select(packed(docs, keep, "lang_pred", "score"), F.col(text).cast("string").alias("__whole"))
     schema = kept.drop("__whole").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        scorer = _SCORERS.get(key)
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(shared.value)
+        scorer = worker_state(("language", key), lambda: Scorer(shared.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)

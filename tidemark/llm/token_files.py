@@ -25,7 +25,6 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import whole_text, worker_state
 from .words import PieceIds, byte_letters
 
 MAGIC = b"TIDEIDS1"
@@ -163,12 +162,16 @@ class TokenFiles:
     shards: tuple[tuple[str, int, int], ...]
 
 
-@lru_cache(maxsize=2)
-def _worker(path: str) -> tuple:
-    from tokenizers import Tokenizer
+def _worker(path: str) -> PieceIds:
+    """One encoder per worker process; its memory of pieces outlives a task."""
 
-    tokenizer = Tokenizer.from_file(path)
-    return PieceIds(tokenizer, library_words(tokenizer))
+    def make() -> PieceIds:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return PieceIds(tokenizer, library_words(tokenizer))
+
+    return worker_state(("library", path), make)
 
 
 def library_words(tokenizer):
