@@ -229,14 +229,16 @@ def _differing_bits(a: str, b: str, words64: int) -> Column:
     return sum(F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(words64))
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, sketch_width: int = 2, words64: int = 4, tuples: int = 64, tuple_bytes: int = 3, least_shared: int = 5, most_bits: int = 56, long_list: int = 64) -> DataFrame:
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, sketch_width: int = 2, words64: int = 4, tuples: int = 64, tuple_bytes: int = 3, least_shared: int = 5, most_bits: int = 56, long_list: int = 24, rounds: int = 6) -> DataFrame:
     """(k1, k2, doc_id, n, keeper): one row per distinct (doc_id, text) with how often it came and whether it stays for its group.
 
     Documents link when their sets of `width`-word shingles have a Jaccard similarity of
     `similarity` or more; a group is a connected component, and its smallest doc_id stays
-    (null ids last). Lists of up to `long_list` members are paired off entirely; in longer
-    ones every member is held against the list's leader, another one in each list, and
-    those unlike it are listed again among themselves until the lists are short.
+    (null ids last). Lists of up to `long_list` members are paired off entirely. In longer
+    ones every member is held against the list's leader, and those unlike it against
+    another leader, in up to `rounds` rounds; what is left of a list is paired off as soon as
+    it is short. A member unlike all leaders of a list that stays long is not held against
+    the rest of it there: it meets its partners in the other lists of its other tuples.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *_row_keys(doc_id, text), whole_text(text).alias("__whole"))
     schema = rows.drop("__whole").schema.add("fp", "binary").add("name", "binary")
@@ -261,20 +263,21 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return scratch_table(full.select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long"), "links")
 
     links = None
-    while True:
+    for turn in range(rounds + 1):
         short = member.filter(F.col("n") <= long_list)
         pairs = short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
         long = member.filter(F.col("n") > long_list)
-        if long.isEmpty():
-            found = verified(pairs)
-            links = found if links is None else links.unionByName(found)
-            break
-        lead = scratch_table(long.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("l")).select("key", F.col("l.node").alias("lead")), "leaders")
-        led = scratch_table(long.join(lead, "key").select("key", "node", "lead", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), "led")
-        stars = led.filter("a <> b").select("a", "b")
-        found = verified(pairs.unionByName(stars).distinct())
+        last = turn == rounds or long.isEmpty()
+        if not last:
+            # one order of leaders for all lists of a turn: lists that overlap share theirs, and few pairs are verified
+            lead = scratch_table(long.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("l")).select("key", F.col("l.node").alias("lead")), "leaders")
+            led = scratch_table(long.join(lead, "key").select("key", "node", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).filter("a <> b"), "led")
+            pairs = pairs.unionByName(led.select("a", "b")).distinct()
+        found = verified(pairs)
         links = found if links is None else links.unionByName(found)
-        rest = led.filter("a <> b").join(found.withColumn("ok", F.lit(1)), ["a", "b"], "left").filter("ok IS NULL").select("key", "node")
+        if last:
+            break
+        rest = led.join(found.withColumn("ok", F.lit(1)), ["a", "b"], "left").filter("ok IS NULL").select("key", "node")
         rest = scratch_table(rest, "rest")
         again = scratch_table(rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
         member = scratch_table(rest.join(again, "key"), "members")
