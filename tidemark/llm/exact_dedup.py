@@ -103,7 +103,7 @@ def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_fi
     tasks = max(1, min(segments // 16, 512))
     merged = parts.repartition(tasks, "seg").mapInPandas(_merge_filters, "seg long, again binary")
     field = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.toLocalIterator():  # at most max_filter_bytes in all
+    for row in merged.collect():  # at most max_filter_bytes in all; built by all tasks at once
         field[row.seg * SEGMENT_BITS // 8 : (row.seg + 1) * SEGMENT_BITS // 8] = _unpack(row.again)
     shared = spark.sparkContext.broadcast(field.tobytes())
 
