@@ -202,7 +202,8 @@ def build_filter(blocks: DataFrame, tokens: int, bits_per_entry: int = 10, max_f
         segment_bits = max(1 << 16, 1 << (bits - 1).bit_length())
     packets = blocks.mapInArrow(_packets(segments), "seg long, n long, keys binary, counts binary")
     dealt = packets.repartition(segments, "seg").sortWithinPartitions("seg")
-    merged = dealt.mapInPandas(_merge(segment_bits), "seg long, bits binary, entries long")
+    # written first: all segments are built at once, and only finished bytes come to the driver
+    merged = scratch_table(dealt.mapInPandas(_merge(segment_bits), "seg long, bits binary, entries long"), "filter")
     data = bytearray(segments * segment_bits // 8)
     for r in merged.toLocalIterator():  # at most max_filter_bytes in all
         data[r.seg * segment_bits // 8 : (r.seg + 1) * segment_bits // 8] = r.bits
