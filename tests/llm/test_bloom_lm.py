@@ -50,3 +50,31 @@ def test_odd_rows(odd_docs, clashing, no_docs):
     assert all(math.isfinite(r.score) for r in got) and sum(r.doc_id is None for r in got) == 2
     assert bloom_lm.score(clashing).count() == 11
     assert bloom_lm.score(no_docs).count() == 0
+
+
+def test_false_levels_stay_rare_as_the_corpus_grows(spark):
+    """Fifty times the tokens: the filter grows along, in segments that no task holds together."""
+    rng = np.random.default_rng(3)
+    for size in (20_000, 1_000_000):
+        rows = [(str(i), i % 2 == 0, " ".join(map(str, rng.integers(0, 1 << 40, 5000)))) for i in range(2 * size // 5000)]
+        df = spark.createDataFrame(rows, "doc_id string, train boolean, text string").repartition(4)
+        blocks = df.mapInArrow(bloom_lm._to_blocks, bloom_lm._BLOCK_ROW).filter("ids IS NOT NULL").select(*bloom_lm._BLOCK).cache()
+        replies = collections.defaultdict(list)
+        for r in bloom_lm.read_levels(blocks, size, segment_bytes=1 << 14).collect():
+            replies[r.block].append((r.seg, r.levels))
+        false = unseen = 0
+        for row in blocks.collect():
+            unzip = bloom_lm.zstandard.ZstdDecompressor()
+            block = bloom_lm.Block(row.asDict(), unzip)
+            got = b"".join(unzip.decompress(z) for _, z in sorted(replies[row.block]))
+            now, pair, _ = block.levels(np.frombuffer(got, np.uint8))
+            mask = block.training()
+            assert (now[mask] > 0).all() and (pair[mask] > 0).all()
+            false, unseen = false + int((pair[~mask] > 0).sum()), unseen + int((~mask).sum())
+        assert unseen > size and false < 0.03 * unseen
+        blocks.unpersist()
+
+
+def test_scores_have_no_ceiling_on_the_filter():
+    sizes = [n * bits // 8 for n, bits in (bloom_lm.filter_shape(t) for t in (10**8, 5 * 10**9))]
+    assert sizes[0] >= 10**8 * 10 // 8 and sizes[1] >= 5 * 10**9 * 10 // 8

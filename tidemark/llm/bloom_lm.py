@@ -3,9 +3,10 @@
 Counts of tokens and of token pairs are quantised on a roughly logarithmic scale; an item of
 level q enters a Bloom filter q times, as (item, 1) ... (item, q) (Talbot and Osborne, 2007).
 A count is read back by probing levels upwards until one is missing, so errors are one-sided
-and rarer the larger the count. The filter is broadcast. It takes `bits_per_entry` bits for
-each stored level up to `max_filter_bytes`; a corpus with more entries than that holds gets
-a fuller filter and more false positives, and still every item is stored.
+and rarer the larger the count. The filter grows with the corpus at `bits_per_entry` bits for
+each training token, and for each stored level at least, so false levels stay as rare at any
+size. It is cut into segments by key; a task holds one segment at a time: it builds it from
+the counts of all blocks of documents and answers the keys that the blocks ask for.
 
 The probability of a token interpolates its bigram estimate with an add-one unigram estimate
 over what was read from the filter. The weight depends on the level of the history and is
@@ -117,22 +118,16 @@ def quantise(counts: np.ndarray) -> np.ndarray:
 
 
 def _packets(segments: int):
-    """Counts of token and pair keys of each block's training texts, a compressed packet for each segment."""
+    """All token and pair keys of each block with their counts in its training texts, a compressed packet for each segment."""
 
     def run(batches):
         zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, unzip)
-                ids, first = block.training()
-                if not len(ids):
-                    continue
-                pairs = pair_keys(block.hashes[ids], first)
-                n = np.bincount(ids, minlength=len(block.hashes))
-                keys, counts = np.unique(pairs, return_counts=True)
-                used = np.flatnonzero(n)
-                keys, counts = np.concatenate((mix64(block.hashes[used], 5), keys)), np.concatenate((n[used], counts))
-                by = np.argsort(keys)
+                keys, by, back = block.keys()
+                mask = block.training()
+                counts = np.concatenate((np.bincount(block.ids[mask], minlength=len(block.hashes)), np.bincount(back[mask], minlength=len(keys) - len(block.hashes))))
                 keys, counts = keys[by], counts[by]
                 seg, _ = _slots(keys, 1, 0, segments, 8)
                 cuts = np.searchsorted(seg, np.arange(segments + 1))
@@ -143,13 +138,32 @@ def _packets(segments: int):
                         gaps = np.diff(keys[lo:hi], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
                         out.append((s, int(hi - lo), zip_.compress(np.ascontiguousarray(gaps).tobytes()), zip_.compress(np.minimum(counts[lo:hi], 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())))
                 s, m, k, c = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(m, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["seg", "n", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(s), pa.int64()), pa.array(s, pa.int64()), pa.array(m, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["block", "seg", "n", "keys", "counts"])
 
     return run
 
 
-def _merge(segment_bits: int):
-    """Streaming: the packets of one segment follow each other; each is folded into sorted counts."""
+def _packet_keys(packed: bytes, unzip) -> np.ndarray:
+    gaps = np.frombuffer(unzip.decompress(packed), np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(gaps).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def _packet_counts(packed: bytes, unzip) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unzip.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _segment(keys: np.ndarray, q: np.ndarray, segment_bits: int) -> bytes:
+    """The bits of one segment that holds each key at its level `q`."""
+    bits = np.zeros(segment_bits, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        now = keys[q >= level]
+        for j in range(PROBES):
+            bits[_slots(now, level, j, 1, segment_bits)[1]] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _merge(finish):
+    """Streaming: the packets of one segment follow each other; `finish` gets its sorted counts and its packets of keys."""
 
     def fold(parts):
         keys = np.concatenate([k for k, _ in parts])
@@ -159,57 +173,77 @@ def _merge(segment_bits: int):
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         return keys[first], np.add.reduceat(counts, first)
 
-    def build(seg, parts):
-        keys, counts = fold(parts)
-        q = quantise(counts)
-        bits = np.zeros(segment_bits, bool)
-        for level in range(1, int(q.max()) + 1):
-            now = keys[q >= level]
-            for j in range(PROBES):
-                bits[_slots(now, level, j, 1, segment_bits)[1]] = True
-        return pd.DataFrame({"seg": [seg], "bits": [np.packbits(bits, bitorder="little").tobytes()], "entries": [int(q.sum())]})
-
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
-        seg, parts, waiting = None, [], 0
+        seg, parts, waiting, packets = None, [], 0, []
         for pdf in batches:
-            for s, n, k, c in zip(pdf["seg"], pdf["n"], pdf["keys"], pdf["counts"]):
+            for block, s, n, k, c in zip(pdf["block"], pdf["seg"], pdf["n"], pdf["keys"], pdf["counts"]):
                 if seg is not None and s != seg:
-                    yield build(seg, parts)
-                    parts, waiting = [], 0
+                    yield finish(seg, *fold(parts), packets)
+                    parts, waiting, packets = [], 0, []
                 seg = s
-                gaps = np.frombuffer(unzip.decompress(k), np.uint8).reshape(8, -1).T
-                parts.append((np.cumsum(np.ascontiguousarray(gaps).view("<u8").reshape(-1), dtype=np.uint64), np.ascontiguousarray(np.frombuffer(unzip.decompress(c), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)))
+                packets.append((block, k))
+                parts.append((_packet_keys(k, unzip), _packet_counts(c, unzip)))
                 waiting += n
                 if waiting > 4_000_000:
                     parts = [fold(parts)]
                     waiting = 0
         if seg is not None:
-            yield build(seg, parts)
+            yield finish(seg, *fold(parts), packets)
 
     return run
 
 
-def build_filter(blocks: DataFrame, tokens: int, bits_per_entry: int = 10, max_filter_bytes: int = 96 << 20, segment_bytes: int = 1 << 19) -> tuple:
-    """Count and quantise all tokens and pairs of the blocks' training rows; returns (filter bytes, segments, bits per segment).
-
-    `tokens`, the number of training tokens, bounds the entries: a pair and a token level for each.
-    """
-    bits = min(max(tokens, 1) * bits_per_entry, max_filter_bytes * 8)
+def filter_shape(tokens: int, bits_per_entry: int = 10, max_filter_bytes: int | None = None, segment_bytes: int = 1 << 19) -> tuple[int, int]:
+    """Segments and bits per segment. No ceiling unless the caller sets `max_filter_bytes`."""
+    bits = max(tokens, 1) * bits_per_entry
+    if max_filter_bytes is not None:
+        bits = min(bits, max_filter_bytes * 8)
     segment_bits = segment_bytes * 8
     segments = max(1, -(-bits // segment_bits))
     if segments == 1:
         segment_bits = max(1 << 16, 1 << (bits - 1).bit_length())
-    packets = blocks.mapInArrow(_packets(segments), "seg long, n long, keys binary, counts binary")
-    dealt = packets.repartition(segments, "seg").sortWithinPartitions("seg")
-    # written first: all segments are built at once, and only finished bytes come to the driver
-    merged = scratch_table(dealt.mapInPandas(_merge(segment_bits), "seg long, bits binary, entries long"), "filter")
+    return segments, segment_bits
+
+
+def _dealt(blocks: DataFrame, segments: int) -> DataFrame:
+    """The packets of all blocks, those of a segment one after another in one task."""
+    packets = blocks.mapInArrow(_packets(segments), "block long, seg long, n long, keys binary, counts binary")
+    return packets.repartition(min(segments, 2000), "seg").sortWithinPartitions("seg")
+
+
+def build_filter(blocks: DataFrame, tokens: int, bits_per_entry: int = 10, max_filter_bytes: int | None = None, segment_bytes: int = 1 << 19) -> tuple:
+    """All segments of the filter in one place, for corpora that small; returns (filter bytes, segments, bits per segment)."""
+    segments, segment_bits = filter_shape(tokens, bits_per_entry, max_filter_bytes, segment_bytes)
+
+    def finish(seg, keys, counts, packets):
+        return pd.DataFrame({"seg": [seg], "bits": [_segment(keys, quantise(counts), segment_bits)]})
+
     data = bytearray(segments * segment_bits // 8)
-    for r in merged.toLocalIterator():  # at most max_filter_bytes in all
+    for r in _dealt(blocks, segments).mapInPandas(_merge(finish), "seg long, bits binary").collect():
         data[r.seg * segment_bits // 8 : (r.seg + 1) * segment_bits // 8] = r.bits
     return bytes(data), segments, segment_bits
 
 
+def read_levels(blocks: DataFrame, tokens: int, bits_per_entry: int = 10, **shape) -> DataFrame:
+    """(block, seg, levels): what the filter says of each block's keys, in the order of the keys, a row for each segment.
+
+    Each segment is built and read within one task. It takes its share of the bits for
+    `tokens`, the number of training tokens, and more where its entries ask for more.
+    """
+    segments, segment_bits = filter_shape(tokens, bits_per_entry, **shape)
+
+    def finish(seg, keys, counts, packets):
+        q = quantise(counts)
+        size = max(segment_bits, -(-int(q.sum()) * bits_per_entry // 8) * 8)
+        level = CountFilter(_segment(keys, q, size), 1, size).level(keys).astype(np.uint8)
+        zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        replies = [zip_.compress(level[np.searchsorted(keys, _packet_keys(k, unzip))].tobytes()) for _, k in packets]
+        return pd.DataFrame({"block": [b for b, _ in packets], "seg": seg, "levels": replies})
+
+    return scratch_table(_dealt(blocks, segments).mapInPandas(_merge(finish), "block long, seg long, levels binary"), "levels")
+
+
 # ---- blocks of documents --------------------------------------------------------------
 
 #: A block in one row, and its tokens in rows of their own: their index and their training count.
@@ -218,6 +252,11 @@ _BLOCK_ROW = "block long, doc_ids array<string>, train array<boolean>, sizes arr
 _KINDS = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
 
 
+#: A block after both kinds of counts were read: what its documents need for their scores.
+_READ = "doc_ids array<string>, train array<boolean>, sizes array<long>, known array<long>, base array<double>, start int, now binary, pair binary, bins array<long>, times array<long>"
+_READ_KINDS = [pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+
 def _to_blocks(batches):
     """Each text is split once; all later steps read token indexes."""
     from pyspark import TaskContext
@@ -269,39 +308,36 @@ class Block:
         self.sizes, self.train, self.doc_ids = np.array(row["sizes"]), np.array(row["train"], bool), row["doc_ids"]
         self.first = np.cumsum(np.concatenate(([0], self.sizes[:-1])))
 
-    def training(self) -> tuple[np.ndarray, np.ndarray]:
-        """Token indexes of the training documents, and where each begins."""
-        sizes = self.sizes[self.train]
-        return self.ids[np.repeat(self.train, self.sizes)], np.cumsum(np.concatenate(([0], sizes[:-1]))).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-
-
-class Model:
-    """Interpolated probabilities over a count filter."""
-
-    def __init__(self, counts: CountFilter, n: int, v: int, weights: np.ndarray):
-        self.counts, self.n, self.v, self.weights = counts, n, v, weights
-
-    def parts(self, hashes: np.ndarray, ids: np.ndarray, first: np.ndarray, own: int = 0):
-        """History level, bigram estimate and unigram estimate of each token; `own` occurrences are taken off."""
-        single = self.counts.level(mix64(hashes, 5))
-        h = hashes[ids]
-        keys, back = np.unique(pair_keys(h, first), return_inverse=True)
-        pair = np.maximum(MIDDLE[self.counts.level(keys)][back] - own, 0)
-        now = np.maximum(MIDDLE[single][ids] - own, 0)
-        history = np.zeros(len(ids), np.int64)
-        history[1:] = single[ids[:-1]]
-        history[first] = 0
-        seen = np.maximum(MIDDLE[history] - own, 0)
-        # of what stands in no filter, the start of a text, bigrams are relative to the end tokens
-        start = np.maximum(MIDDLE[self.counts.level(mix64(np.array([token_hash(END)], np.uint64), 5))[0]] - own, 0)
-        seen[first] = start
-        bigram = np.minimum(np.divide(pair, seen, out=np.zeros(len(ids)), where=seen > 0), 1.0)
-        return history, bigram, (now + 1) / (self.n + self.v + 1)
-
-    def logs(self, hashes: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        history, bigram, unigram = self.parts(hashes, ids, first)
-        w = self.weights[history]
-        return np.log10(w * bigram + (1 - w) * unigram)
+    def training(self) -> np.ndarray:
+        """Which tokens stand in training documents."""
+        return np.repeat(self.train, self.sizes)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the tokens, then of the distinct pairs; their ascending order; the pair of each place."""
+        pairs, back = np.unique(pair_keys(self.hashes[self.ids], self.first), return_inverse=True)
+        keys = np.concatenate((mix64(self.hashes, 5), pairs))
+        return keys, np.argsort(keys), back
+
+    def levels(self, replies: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Levels of the token and of the pair at each place, and of the end token, from the replies in the order of the keys."""
+        keys, by, back = self.keys()
+        level = np.empty(len(keys), np.uint8)
+        level[by] = replies
+        size = len(self.hashes)
+        end = np.flatnonzero(self.hashes == np.uint64(token_hash(END)))[0]
+        return level[:size][self.ids], level[size:][back], int(level[end])
+
+
+def estimates(now: np.ndarray, pair: np.ndarray, first: np.ndarray, start: int, n: int, v: int, own: int = 0):
+    """History level, bigram estimate and unigram estimate of each token from the levels; `own` occurrences are taken off."""
+    history = np.zeros(len(now), np.int64)
+    history[1:] = now[:-1]
+    history[first] = 0
+    seen = np.maximum(MIDDLE[history] - own, 0)
+    # of what stands in no filter, the start of a text, bigrams are relative to the end tokens
+    seen[first] = max(MIDDLE[start] - own, 0)
+    bigram = np.minimum(np.divide(np.maximum(MIDDLE[pair] - own, 0), seen, out=np.zeros(len(now)), where=seen > 0), 1.0)
+    return history, bigram, (np.maximum(MIDDLE[now] - own, 0) + 1) / (n + v + 1)
 
 
 _BINS = 40
@@ -341,48 +377,66 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     release(spark)
     sums = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(sums[0]), int(sums[1])
-    shared = spark.sparkContext.broadcast(build_filter(blocks, n, **filter_options))
-
-    def bins(batches):
-        unzip, flat = zstandard.ZstdDecompressor(), np.zeros(len(LEVELS) + 1)
-        model = Model(CountFilter(*shared.value), n, v, flat)
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row, unzip)
-                ids, first = block.training()
-                if not len(ids):
-                    continue
-                history, bigram, unigram = model.parts(block.hashes, ids, first, own=1)
-                code, times = np.unique(history * (_BINS + 1) + _ratio_bins(bigram, unigram), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code // (_BINS + 1), pa.int64()), pa.array(code % (_BINS + 1), pa.int64()), pa.array(times, pa.int64())], names=["level", "bin", "n"])
-
-    seen = blocks.mapInArrow(bins, "level long, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect()
+    levels = read_levels(blocks, n, **filter_options)
     release(spark)
-    weights = fit_weights({(r["level"], r["bin"]): r["n"] for r in seen})
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        row = a.to_pylist()[0]
-        block = Block(row, zstandard.ZstdDecompressor())
+        unzip = zstandard.ZstdDecompressor()
+        rows = a.to_pylist()
+        block = Block(next(r for r in rows if r["ids"] is not None), unzip)
+        replies = sorted((r["seg"], r["levels"]) for r in rows if r["ids"] is None)
+        now, pair, start = block.levels(np.frombuffer(b"".join(unzip.decompress(z) for _, z in replies), np.uint8))
+        mask, bins, times = block.training(), [], []
+        if mask.any():
+            sizes = block.sizes[block.train]
+            history, bigram, unigram = estimates(now[mask], pair[mask], np.cumsum(sizes) - sizes, start, n, v, own=1)
+            bins, times = np.unique(history * (_BINS + 1) + _ratio_bins(bigram, unigram), return_counts=True)
         exact = np.zeros(len(block.hashes), np.int64)
         exact[b.column("idx").to_numpy()] = b.column("c").to_numpy()
-        model = Model(CountFilter(*shared.value), n, v, weights)
         base = np.log10((exact + 1) / (n + (v + 1)))[block.ids]
-        logs = model.logs(block.hashes, block.ids, block.first)
         ends = block.first + block.sizes
-        return pa.table(
-            {
-                "doc_id": pa.array(block.doc_ids, pa.string()),
-                "held_out": pa.array(~block.train),
-                "n_tokens": pa.array(block.sizes, pa.int64()),
-                "n_known": pa.array(np.add.reduceat((exact[block.ids] > 0).astype(np.int64), block.first), pa.int64()),
-                "train_tokens": pa.array(np.full(len(ends), n), pa.int64()),
-                "base_score": pa.array([math.fsum(base[lo:hi]) for lo, hi in zip(block.first.tolist(), ends.tolist())], pa.float64()),
-                "score": pa.array(np.add.reduceat(logs, block.first), pa.float64()),
-            }
-        )
+        row = {
+            "doc_ids": block.doc_ids,
+            "train": block.train.tolist(),
+            "sizes": block.sizes.tolist(),
+            "known": np.add.reduceat((exact[block.ids] > 0).astype(np.int64), block.first).tolist(),
+            "base": [math.fsum(base[lo:hi]) for lo, hi in zip(block.first.tolist(), ends.tolist())],
+            "start": start,
+            "now": zstandard.ZstdCompressor(level=1).compress(now.tobytes()),
+            "pair": zstandard.ZstdCompressor(level=1).compress(pair.tobytes()),
+            "bins": np.asarray(bins, np.int64).tolist(),
+            "times": np.asarray(times, np.int64).tolist(),
+        }
+        return pa.table({k: pa.array([x], t) for (k, x), t in zip(row.items(), _READ_KINDS)})
 
     replies = counts.select("c", F.explode("at").alias("a")).select(F.col("a.block").alias("block"), F.col("a.idx").alias("idx"), "c")
-    grouped = blocks.groupBy("block").cogroup(replies.groupBy("block"))
+    asking = blocks.unionByName(levels, allowMissingColumns=True)
     # ids travel as text: a null among integers would turn them into floats
-    scored = grouped.applyInArrow(run, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    read = scratch_table(asking.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, _READ), "read")
+    release(spark)
+    seen = read.select(F.explode(F.arrays_zip("bins", "times")).alias("z")).groupBy("z.bins").agg(F.sum("z.times").alias("n")).collect()
+    weights = fit_weights({divmod(r["bins"], _BINS + 1): r["n"] for r in seen})
+
+    def finish(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = np.array(row["sizes"])
+                first = np.cumsum(sizes) - sizes
+                now, pair = (np.frombuffer(unzip.decompress(row[k]), np.uint8) for k in ("now", "pair"))
+                history, bigram, unigram = estimates(now, pair, first, row["start"], n, v)
+                w = weights[history]
+                logs = np.log10(w * bigram + (1 - w) * unigram)
+                scored = {
+                    "doc_id": pa.array(row["doc_ids"], pa.string()),
+                    "held_out": pa.array([not t for t in row["train"]]),
+                    "n_tokens": pa.array(row["sizes"], pa.int64()),
+                    "n_known": pa.array(row["known"], pa.int64()),
+                    "train_tokens": pa.array(np.full(len(sizes), n), pa.int64()),
+                    "base_score": pa.array(row["base"], pa.float64()),
+                    "score": pa.array(np.add.reduceat(logs, first), pa.float64()),
+                }
+                yield pa.RecordBatch.from_pydict(scored)
+
+    scored = read.mapInArrow(finish, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
