@@ -114,3 +114,32 @@ def test_drop_similar_odd_rows(odd_docs, clashing, no_docs):
     wide = simhash.drop_similar(clashing)
     assert wide.columns == clashing.columns and wide.count() == 5
     assert simhash.drop_similar(no_docs).count() == 0
+
+
+def groups_equal_brute_force(spark, texts, **options):
+    sets = {n: set(shingles(t, 5)) for n, t in enumerate(texts)}
+    want = classes(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.drop_similar(df, **options).collect()}
+    assert kept == {n for n, c in want.items() if n == c}
+    return len(texts) - len(kept)
+
+
+def test_families_over_one_template(spark):
+    """Many pairs of copies that share most of their text with all others: lists stay long, and no pair may be left."""
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(5000)}"
+    template, texts = [word() for _ in range(160)], []
+    for _ in range(300):
+        own = [word() for _ in range(40)]
+        for _ in range(2):
+            copy = list(own)
+            copy[rng.randrange(40)] = word()
+            texts.append(" ".join(template + copy))
+    assert groups_equal_brute_force(spark, texts) == 300
+
+
+def test_long_lists_are_compared_whole(spark, monkeypatch):
+    """Even without a hint of what is frequent, members unlike every leader meet."""
+    monkeypatch.setattr(simhash, "frequent_shingles", lambda *a, **k: (simhash.np.zeros(0, "uint64"), simhash.np.zeros(0, "int64")))
+    test_families_over_one_template(spark)

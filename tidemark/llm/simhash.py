@@ -19,13 +19,15 @@ Null text counts as empty; an empty text has the zero fingerprint and links like
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import LOWER_AZ, mix64, scratch_table, whole_text
 from .components import components
@@ -156,25 +158,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 # ---- groups by shingle similarity -----------------------------------------------------
 #
-# For a similarity of word-shingle sets a wider fingerprint is filed in the same kind of
-# index: `words64` 64-bit words give 8 * words64 byte positions, and pseudo-random tuples of
-# `tuple_bytes` of them the posting lists. The sketch is taken over shorter shingles than the
-# similarity, since one changed word then flips fewer bits: at a similarity of 0.8 over five
-# words about a tenth of its bits differ, and one tuple in thirteen agrees. Pairs that meet are tallied over all positions, and those
-# short of `least_shared` bytes or beyond `most_bits` differing bits are dropped; the rest
-# are verified on their exact shingle sets.
-
-
-def random_tuples(size: int, count: int, width: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """Distinct tuples of `width` positions, each position used about equally often."""
-    rng, out = np.random.default_rng(seed), []
-    while len(out) < count:
-        order = rng.permutation(size)
-        for i in range(0, size - width + 1, width):
-            t = tuple(sorted(order[i : i + width].tolist()))
-            if t not in out and len(out) < count:
-                out.append(t)
-    return out
+# Groups by the similarity of word-shingle sets need no sketch: under one order of all
+# shingles, two sets of similarity s share one of the first n - ceil(s n) + 1 shingles of
+# each (prefix filter), so lists under those miss no pair. The order puts shingles that are
+# frequent in a sample last, which keeps lists short; any order gives the same groups.
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -187,28 +174,59 @@ def _row_keys(doc_id: str, text: str) -> list[Column]:
     return [F.xxhash64(doc_id, whole).alias("k1"), F.xxhash64(whole, F.length(whole), doc_id).alias("k2")]
 
 
-def _sketches(width: int, sketch_width: int, words64: int):
+def _sample(width: int):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = part.column("__whole").to_pylist()
-                fps = [fingerprint(t, sketch_width, words64) for t in texts]
-                names = [xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), pa.array(fps, pa.binary()), pa.array(names, pa.binary())], names=["doc_id", "k1", "k2", "fp", "name"])
+            for t in batch.column("__whole").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], names=["h"])
 
     return run
 
 
-def _sets(width: int):
+def frequent_shingles(rows: DataFrame, width: int, sample: int = 10_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles frequent in a sample of rows, ascending, and how often they came. Only the order of shingles depends on it."""
+    share = min(1.0, sample / max(1, rows.count()))
+    some = rows.filter(F.pmod("k1", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("__whole")
+    counts = some.mapInArrow(_sample(width), "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    found = counts.orderBy(F.desc("c"), "h").limit(most).toArrow()
+    h, c = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    by = np.argsort(h)
+    return h[by], c[by]
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: a set of that similarity shares one that is among its own first, too."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    h, c = frequent
+    often = np.zeros(n, np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+        often = np.where(h[at] == shingles, c[at], 0)
+    return shingles[np.lexsort((shingles, often))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _prefixes(width: int, similarity: float, shared):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, width).astype(np.uint32) for t in batch.column("__whole").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [shingle_set(t, width) for t in part.column("__whole").to_pylist()]
+                names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                firsts = [prefix(s, shared.value, similarity).view(np.int64) for s in sets]
+                packed = [s.astype(np.uint32).tobytes() for s in sets]
+                columns = [pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), *columns], names=["doc_id", "k1", "k2", "name", "size", "first", "shingles"])
 
     return run
 
 
+def _fits(similarity: float) -> str:
+    """Size and positional filter: true of the first shingle that two sets of that similarity share."""
+    return f"1 + least(na - 1 - pa, nb - 1 - pb) >= {similarity / (1 + similarity)!r}D * (na + nb) - 1e-6D"
+
+
 def _similar(least: float):
     def run(batches):
         for batch in batches:
@@ -224,63 +242,55 @@ def _similar(least: float):
     return run
 
 
-def _differing_bits(a: str, b: str, words64: int) -> Column:
-    word = lambda c, i: F.conv(F.hex(F.substring(F.col(c), 8 * i + 1, 8)), 16, -10).cast("long")
-    return sum(F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(words64))
-
-
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, sketch_width: int = 2, words64: int = 4, tuples: int = 64, tuple_bytes: int = 3, least_shared: int = 5, most_bits: int = 56, long_list: int = 24, rounds: int = 6) -> DataFrame:
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, long_list: int = 24) -> DataFrame:
     """(k1, k2, doc_id, n, keeper): one row per distinct (doc_id, text) with how often it came and whether it stays for its group.
 
     Documents link when their sets of `width`-word shingles have a Jaccard similarity of
     `similarity` or more; a group is a connected component, and its smallest doc_id stays
-    (null ids last). Lists of up to `long_list` members are paired off entirely. In longer
-    ones every member is held against the list's leader, and those unlike it against
-    another leader, in up to `rounds` rounds; what is left of a list is paired off as soon as
-    it is short. A member unlike all leaders of a list that stays long is not held against
-    the rest of it there: it meets its partners in the other lists of its other tuples.
+    (null ids last). Lists of up to `long_list` members are paired off at once. In longer
+    ones every member is first held against the list's leader, twice; then all pairs that
+    are not in one group yet are held against each other, so that none is left out.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *_row_keys(doc_id, text), whole_text(text).alias("__whole"))
-    schema = rows.drop("__whole").schema.add("fp", "binary").add("name", "binary")
-    marked = scratch_table(rows.mapInArrow(_sketches(width, sketch_width, words64), schema), "sketches")
-    nodes = marked.groupBy("name").agg(F.min("fp").alias("fp"), F.min(F.struct("k1", "k2")).alias("k"))
-    nodes = scratch_table(nodes.select("name", "fp", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), F.monotonically_increasing_id().alias("node")), "nodes")
-
-    entries = F.array(*[F.concat(F.lit(bytearray([i])), _key("fp", t)) for i, t in enumerate(random_tuples(8 * words64, tuples, tuple_bytes))])
-    postings = nodes.select("node", F.explode(entries).alias("key"))
-    sizes = scratch_table(postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
-    member = scratch_table(postings.join(sizes, "key"), "members")
-    wanted = member.select("node").distinct().join(nodes, "node").select("node", "k1", "k2")
-    texts = rows.join(scratch_table(wanted, "wanted"), ["k1", "k2"]).groupBy("node").agg(F.first("__whole").alias("__whole"))
-    sets = scratch_table(texts.mapInArrow(_sets(width), "node long, shingles binary"), "sets")
-    prints = scratch_table(nodes.select("node", "fp"), "prints")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-        pairs = pairs.filter((shared_bytes("fa", "fb", 8 * words64) >= least_shared) & (_differing_bits("fa", "fb", words64) <= most_bits)).select("a", "b")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, width))
+    schema = rows.drop("__whole").schema.add("name", "binary").add("size", "integer").add("first", ArrayType(LongType())).add("shingles", "binary")
+    marked = scratch_table(rows.mapInArrow(_prefixes(width, similarity, shared), schema), "prefixes")
+    nodes = marked.groupBy("name").agg(*[F.first(c).alias(c) for c in ("size", "first", "shingles")])
+    nodes = scratch_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    postings = nodes.select("node", F.col("size").alias("n"), F.posexplode("first").alias("p", "key"))
+    lists = Window.partitionBy("key")
+    member = scratch_table(postings.withColumn("m", F.count("*").over(lists)).filter("m > 1"), "members")
+    sets = nodes.select("node", "shingles")
+
+    def side(of: DataFrame, x: str, *more: str) -> DataFrame:
+        return of.select("key", *more, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
+
+    def verified(met: DataFrame) -> DataFrame:
+        pairs = met.filter(_fits(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch_table(pairs, "pairs")
         full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         return scratch_table(full.select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long"), "links")
 
-    links = None
-    for turn in range(rounds + 1):
-        short = member.filter(F.col("n") <= long_list)
-        pairs = short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
-        long = member.filter(F.col("n") > long_list)
-        last = turn == rounds or long.isEmpty()
-        if not last:
-            # one order of leaders for all lists of a turn: lists that overlap share theirs, and few pairs are verified
-            lead = scratch_table(long.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("l")).select("key", F.col("l.node").alias("lead")), "leaders")
-            led = scratch_table(long.join(lead, "key").select("key", "node", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).filter("a <> b"), "led")
-            pairs = pairs.unionByName(led.select("a", "b")).distinct()
-        found = verified(pairs)
-        links = found if links is None else links.unionByName(found)
-        if last:
+    short = member.filter(F.col("m") <= long_list)
+    links = verified(side(short, "a").join(side(short, "b"), "key").filter("a < b"))
+    long = member.filter(F.col("m") > long_list).drop("m")
+    for turn in range(3):
+        if long.isEmpty():
             break
-        rest = led.join(found.withColumn("ok", F.lit(1)), ["a", "b"], "left").filter("ok IS NULL").select("key", "node")
-        rest = scratch_table(rest, "rest")
-        again = scratch_table(rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
-        member = scratch_table(rest.join(again, "key"), "members")
+        # what is in one group needs no more comparing; a list all in one group is done
+        group = components(links).withColumnRenamed("component", "g")
+        long = long.drop("g").join(group, "node", "left").withColumn("g", F.coalesce("g", "node"))
+        open_ = long.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key")
+        long = scratch_table(long.join(open_, "key", "left_semi"), "long")
+        if turn < 2:
+            # one order of leaders for all lists: lists that overlap share theirs, and few pairs are verified
+            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "p", "g")
+            lead = long.groupBy("key").agg(F.min(order).alias("l")).select("key", "l.node", "l.n", "l.p", F.col("l.g").alias("ga"))
+            met = side(lead, "a", "ga").join(side(long, "b", "g"), "key").filter("ga <> g")
+        else:
+            met = side(long.withColumnRenamed("g", "ga"), "a", "ga").join(side(long, "b", "g"), "key").filter("a < b AND ga <> g")
+        links = links.unionByName(verified(met))
 
     linked = components(links).withColumnRenamed("node", "n_")
     named = nodes.select("name", "node").join(linked, F.col("node") == F.col("n_"), "left").select("name", F.coalesce("component", "node").alias("component"))
