@@ -143,3 +143,15 @@ def test_long_lists_are_compared_whole(spark, monkeypatch):
     """Even without a hint of what is frequent, members unlike every leader meet."""
     monkeypatch.setattr(simhash, "frequent_shingles", lambda *a, **k: (simhash.np.zeros(0, "uint64"), simhash.np.zeros(0, "int64")))
     test_families_over_one_template(spark)
+
+
+def test_appended_and_replaced_blocks(spark):
+    """One stretch differs and the similarity is just over 0.8."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for i in range(200):
+        text = [word() for _ in range(300)]
+        other = text + [word() for _ in range(72)] if i % 2 else text[:120] + [word() for _ in range(28)] + text[148:]
+        texts += [" ".join(text), " ".join(other)]
+    assert groups_equal_brute_force(spark, texts) == 200
