@@ -1,7 +1,7 @@
 import pytest
 from helpers import events
 
-from tidemark.plans.compiler import query, run
+from tidemark.plans.compiler import query, run, to_result
 from tidemark.plans.language import Condition, QueryError, parse, tokenize
 
 ROWS = [("server-42", 1000, "cpu", 42.0), ("server-42", 1010, "cpu", 85.5), ("server-42", 1015, "deployment", "v2.8.1"), ("server-42", 1020, "cpu", 94.2), ("server-99", 1000, "cpu", 20.0)]
@@ -85,3 +85,22 @@ def test_filters_reach_the_scan(spark, five, tmp_path):
     for wanted in ("EqualTo(entity,server-42)", "EqualTo(type,cpu)", "GreaterThan(value_num,80.0)", "LessThanOrEqual(timestamp,2000)"):
         assert wanted in plan
     assert "attributes" not in plan.split("ReadSchema")[-1]
+
+
+def test_result_as_plain_data(five):
+    import json
+
+    got = to_result("FIND * FROM server-42 ORDER BY timestamp ASC LIMIT 3", five)
+    assert got["columns"] == ["timestamp", "entity", "type", "value", "event_id"]
+    assert [r[3] for r in got["rows"]] == [42, 85.5, "v2.8.1"] or [r[3] for r in got["rows"]] == [42.0, 85.5, "v2.8.1"]
+    assert set(got["metadata"]) == {"scanned_rows", "returned_rows", "segments_touched", "index_hits", "execution_time_ms"} and got["metadata"]["returned_rows"] == 3
+    assert json.loads(json.dumps(got)) == got
+    assert to_result("ANALYZE cpu", five)["columns"][0] == "type"
+
+
+def test_skipped_segments(spark, five, tmp_path):
+    path = str(tmp_path / "e")
+    for entity in ("server-42", "server-99"):
+        five.filter(f"entity = '{entity}'").coalesce(1).write.mode("append").parquet(path)
+    _, seen = run("FIND cpu FROM server-99", spark.read.parquet(path))
+    assert (seen.files, seen.skipped, seen.scanned) == (2, 1, 1)

@@ -95,6 +95,81 @@ def test_table_life(spark, tmp_path):
     assert "UNKNOWN" in {r.status for r in table.verify().collect()}
 
 
+def test_crash_before_the_pointer_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    table = EventTable(spark, str(tmp_path / "t"))
+    for lo in (0, 3):
+        table.append(events(spark, [("a", 1000 + i, "cpu", i) for i in range(lo, lo + 3)]).coalesce(1))
+    with monkeypatch.context() as m:
+        m.setattr(EventTable, "_point_to", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            table.compact()
+    assert table.version() == 0 and table.events().count() == 6 and {r.status for r in table.verify().collect()} == {"HEALTHY"}
+    assert table.compact() == 2 and table.events().count() == 3
+    # the first file's rows stay, in the order of writing
+    assert sorted(r.value_num for r in table.events().collect()) == [0, 1, 2]
+    assert {r.status for r in table.verify().collect()} == {"HEALTHY"} and table.vacuum() == [0, 1]
+    assert EventTable(spark, table.path).version() == 2 and table.events().count() == 3 and table.compact() is None
+
+
+def test_append_during_compaction_is_carried_over(spark, tmp_path, monkeypatch):
+    table = EventTable(spark, str(tmp_path / "t"))
+    for i in (1, 2):
+        table.append(events(spark, [("a", i, "cpu", i)]).withColumn("event_id", F.lit(f"x{i}")))
+    write, once = EventTable._write, []
+
+    def busy(self, rows, version, mode):
+        if not once:
+            once.append(1)
+            write(self, events(spark, [("b", 9, "cpu", 9)]), 0, "append")
+        write(self, rows, version, mode)
+
+    monkeypatch.setattr(EventTable, "_write", busy)
+    assert table.compact() == 1
+    assert sorted(r.event_id for r in table.events().collect()) == ["e1", "x1", "x2"]
+
+
+def test_audit_reads_new_files_only(spark, tmp_path):
+    table = EventTable(spark, str(tmp_path / "t"))
+    table.append(events(spark, [("a", 1, "cpu", 1)]))
+    newest = table._known(0).agg(F.max("modified")).first()[0]
+    assert table._files(0, newest).count() >= 1
+    import datetime
+
+    assert table._files(0, newest + datetime.timedelta(hours=1)).count() == 0
+
+
+def test_damaged_segment_shows(spark, tmp_path):
+    table = EventTable(spark, str(tmp_path / "t"))
+    table.append(events(spark, [("a", i, "cpu", i) for i in range(20)]).coalesce(1))
+    table.append(events(spark, [("b", i, "cpu", i) for i in range(20)]).coalesce(1))
+    found = sorted((tmp_path / "t" / "v0").glob("*.parquet"))
+    found[0].unlink()
+    spark.catalog.clearCache()
+    assert sorted(r.status for r in table.verify().collect()) == ["HEALTHY", "MISSING"]
+
+
+def test_lines_are_counted_through_in_the_order_of_files(spark, tmp_path):
+    for name, n in (("b.jsonl", 40), ("a.jsonl", 3), ("c.jsonl", 7)):
+        (tmp_path / name).write_text("".join(f"{name[0]}{i}\n" for i in range(n)))
+    got = jsonl.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r.raw for r in got] == [f"{f}{i}" for f, n in (("a", 3), ("b", 40), ("c", 7)) for i in range(n)]
+    assert [r.line_no for r in got] == list(range(50))
+
+
+def test_numbers_run_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(jsonl, "STRETCH", 4)
+    raw = ["{}" if i % 3 else "broken" for i in range(23)]
+    got = jsonl.numbered(lines(spark, raw).repartition(3), 10).orderBy("line_no").collect()
+    good = [i for i in range(23) if i % 3]
+    assert [r.seq for r in got] == [10 + good.index(i) if i % 3 else None for i in range(23)]
+
+
+def test_python_rows(spark):
+    checked = jsonl.ingest_rows(spark, [{"entity": "é", "timestamp": 5, "type": "A", "value": 1.5}, '{"entity": "b", "timestamp": 6, "type": "t", "value": true}', {"entity": "c"}])
+    assert [(r.entity, r.type, r.value_num, r.value_kind, r.sequence_num) for r in jsonl.accepted(checked).orderBy("sequence_num").collect()] == [("é", "a", 1.5, "number", 1), ("b", "t", 1.0, "bool", 2)]
+    assert jsonl.report(checked)["errors"][0]["error"] == "missing field: timestamp"
+
+
 def test_stream_to_table(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
@@ -124,10 +199,18 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, "https://h.example:8080/p?q", html), (2, "plain.example/x", "<p>no</p>"), (3, None, None)], "page_id long, url string, html string")
     a, b, c = pages.describe(df).orderBy("page_id").collect()
     assert (a.entity, a.scheme, a.title, a.description, a.heading, a.links) == ("h.example:8080", "HTTPS", "A\nb", "about it", "Hi you", ["/x", "http://y"])
-    assert (a.n_scripts, a.n_images, a.n_forms, a.size_kb) == (2, 1, 1, len(html) / 1024)
+    assert (a.n_links, a.n_scripts, a.n_images, a.n_forms, a.size_kb) == (3, 2, 1, 1, round(len(html) / 1024, 2))
     assert (b.entity, b.title, b.description, b.heading) == ("plain.example", "Unknown Domain", "No meta description defined.", "No primary heading")
     assert (c.entity, c.size_kb) == ("web-target", 0.0)
-    assert pages.page_events(df, F.lit(7)).count() == 21
+    made = pages.page_events(df, F.lit(1000), F.lit(120.0), F.when(F.col("page_id") == 2, 502).otherwise(200)).filter("entity = 'plain.example'").orderBy("sequence_num").collect()
+    assert [(r.sequence_num, r.timestamp, r.type, r.value_num) for r in made] == [
+        (16, 955, "latency", 108.0), (17, 956, "cpu", 9.0), (18, 957, "memory", 32.0), (19, 970, "latency", 132.0), (20, 971, "cpu", 12.2), (21, 972, "memory", 32.8),
+        (22, 985, "latency", 156.0), (23, 986, "cpu", 15.4), (24, 987, "memory", 33.6), (25, 1000, "latency", 180.0), (26, 1001, "cpu", 18.6), (27, 1002, "memory", 34.4),
+        (28, 1001, "size_kb", 0.01), (29, 1002, "status_code", 502.0), (30, 1003, "errors", 1.0),
+    ]
+    assert json.loads(made[0].attributes) == {"phase": "POWER", "sample": 0, "status": 502, "url": "plain.example/x"} and json.loads(made[14].attributes)["error_type"] == "HTTP_ERROR"
+    four = pages.page_events(df, F.lit(1000), F.array(*[F.lit(x) for x in (1.5, 2.5, 3.5, 4.5)])).filter("type = 'latency' AND sequence_num <= 15").orderBy("sequence_num")
+    assert [r.value_num for r in four.collect()] == [1.5, 2.5, 3.5, 4.5]
 
 
 def test_cli(spark, tmp_path, capsys):

@@ -33,10 +33,14 @@ def heading(html: Column) -> Column:
     return _first(html, HEADING, NO_HEADING, lambda c: F.regexp_replace(c, "<[^>]+>", ""))
 
 
+def all_links(html: Column) -> Column:
+    """Every link target, in order."""
+    return F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
+
+
 def links(html: Column, most: int = 5) -> Column:
-    """The first links that are absolute or rooted."""
-    found = F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
-    return F.slice(F.filter(found, lambda x: x.startswith("http") | x.startswith("/")), 1, most)
+    """The first links that are absolute or rooted: a sample to show."""
+    return F.slice(F.filter(all_links(html), lambda x: x.startswith("http") | x.startswith("/")), 1, most)
 
 
 def count_tag(html: Column, tag: str) -> Column:
@@ -44,7 +48,8 @@ def count_tag(html: Column, tag: str) -> Column:
 
 
 def size_kb(html: Column) -> Column:
-    return F.octet_length(html) / 1024
+    """Kilobytes of UTF-8 to two decimals, ties to even."""
+    return F.bround(F.octet_length(html) / 1024, 2)
 
 
 def entity(url: Column) -> Column:

@@ -52,12 +52,16 @@ def evidence_rows(anomalies: DataFrame, events: DataFrame, scope: tuple[str, ...
     """(anomaly_id, rank, event_id, distance, text): the nearest other events of each anomaly.
 
     A banded join: the anomaly is filed under its own and the two neighbouring bins of
-    NEARBY_SECONDS, so the join is on equality and local to the bin.
+    NEARBY_SECONDS, so the join is on equality and local to the bin. Of the events of one
+    second only the first `most` + 1 can be among an anomaly's nearest (it may be one of them
+    itself), so a busy second is thinned to these, before the shuffle where Spark can.
     """
     bin_ = F.floor(F.col("timestamp") / NEARBY_SECONDS)
     left = anomalies.select(*scope, F.col("event_id").alias("anomaly_id"), F.col("timestamp").alias("at"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bin_ + d)).alias("bin"))
     shown = F.concat(F.col("type"), F.lit(" (seq "), F.col("sequence_num").cast("string"), F.lit(", val="), F.coalesce("value_str", F.lit("None")), F.lit(")"))
-    right = events.select(*scope, "event_id", "timestamp", "sequence_num", shown.alias("text"), bin_.alias("bin"))
+    second = Window.partitionBy(*scope, "timestamp").orderBy("sequence_num", "event_id")
+    thin = events.select(*scope, "event_id", "timestamp", "type", "sequence_num", "value_str").withColumn("place", F.row_number().over(second)).filter(F.col("place") <= most + 1)
+    right = thin.select(*scope, "event_id", "timestamp", "sequence_num", shown.alias("text"), bin_.alias("bin"))
     near = left.join(right, [*scope, "bin"]).withColumn("distance", F.abs(F.col("timestamp") - F.col("at"))).filter((F.col("distance") <= NEARBY_SECONDS) & (F.col("event_id") != F.col("anomaly_id")))
     w = Window.partitionBy(*scope, "anomaly_id").orderBy("distance", "timestamp", "sequence_num", "event_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(*scope, "anomaly_id", "rank", "event_id", "distance", "text")

@@ -59,9 +59,9 @@ def predicate(field: str, op: str, literal: float | str) -> Column:
         return _holds(op, literal, F.col("value_kind") != "null", F.col("value_num"), F.when(F.col("value_kind") == "string", F.col("value_str")))
     if field == "attributes":
         return F.col("attributes").isNotNull() if op == "!=" else F.lit(False)
-    value = variants.field(F.try_parse_json("attributes"), field)
-    kind = variants.kind(value)
-    return _holds(op, literal, ~kind.isin("absent", "null"), variants.number(value, kind), variants.text(value, kind))
+    # the text is parsed once: what follows reads the field's own small JSON
+    written = variants.written(F.try_parse_json("attributes"), field)
+    return F.exists(F.array(written), lambda j: _holds(op, literal, F.coalesce(j != "null", F.lit(False)), variants.number(j), variants.text(j)))
 
 
 def ordering(field: str = "timestamp", descending: bool = False) -> list[Column]:
@@ -84,11 +84,11 @@ def timeline(events: DataFrame, entity: str | None = None, limit: int = 200) ->
     """The latest events first, each with `total`, the number before the limit."""
     found = scan(events, entity)
     latest = found.orderBy(F.desc("timestamp"), F.desc("sequence_num"), F.desc("event_id")).limit(limit)
-    return latest.crossJoin(F.broadcast(found.agg(F.count("*").alias("total")))).orderBy(F.desc("timestamp"), F.desc("sequence_num"), F.desc("event_id"))
+    return latest.withColumn("total", found.agg(F.count("*")).scalar()).orderBy(F.desc("timestamp"), F.desc("sequence_num"), F.desc("event_id"))
 
 
 def dedup_by_id(events: DataFrame, first: Column | None = None) -> DataFrame:
-    """One row per event_id, the first in scan order. Pre-aggregated, so a hot id gathers nowhere."""
+    """One row per event_id: the least by `first`, else by time, number and a hash of the row. Pre-aggregated, so a hot id gathers nowhere."""
     others = [c for c in events.columns if c != "event_id"]
-    order = F.struct("timestamp", "sequence_num") if first is None else first
+    order = F.struct("timestamp", "sequence_num", F.xxhash64(*others)) if first is None else first
     return events.groupBy("event_id").agg(F.min_by(F.struct(*others), order).alias("row")).select("event_id", *[F.col(f"row.{c}").alias(c) for c in others]).select(*events.columns)

@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import statistics, temporal
 from ..operators.scan import ordering, predicate, project, scan
@@ -14,11 +15,12 @@ from .language import Plan, parse
 
 @dataclass(frozen=True)
 class Telemetry:
-    """scanned: rows after the pushed filters; returned: rows of the result."""
+    """scanned: rows after the pushed filters; returned: rows of the result; skipped: files that no filter of the scan leaves a row of."""
 
     scanned: int
     returned: int
     files: int
+    skipped: int
     milliseconds: float
 
 
@@ -56,4 +58,30 @@ def run(text: str, events: DataFrame) -> tuple[list, Telemetry]:
     began, plan = time.perf_counter(), parse(text)
     rows = compile_plan(plan, events).collect()
     took = (time.perf_counter() - began) * 1000
-    return rows, Telemetry(_source(plan, events).count(), len(rows), len(events.inputFiles()), took)
+    source, files = _source(plan, events), len(events.inputFiles())
+    if files:
+        seen = source.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    else:
+        seen = (source.count(), 0)
+    return rows, Telemetry(seen[0], len(rows), files, files - seen[1], took)
+
+
+def _plain(printed: str | None, number: float | None):
+    """A stored value in its own kind."""
+    if number is None:
+        return printed
+    if printed in ("True", "False"):
+        return printed == "True"
+    return int(number) if printed is not None and printed.lstrip("-").isdigit() else number
+
+
+def to_result(text: str, events: DataFrame) -> dict:
+    """A query's answer as plain data for JSON: columns, rows and metadata. FIND gives the value in its own kind."""
+    rows, seen = run(text, events)
+    columns = compile_plan(parse(text), events).columns
+    data = [r.asDict(recursive=True) for r in rows]
+    if parse(text).command == "FIND":
+        data = [r | {"value": _plain(r["value"], r["value_num"])} for r in data]
+        columns = [c for c in columns if c != "value_num"]
+    metadata = {"scanned_rows": seen.scanned, "returned_rows": seen.returned, "segments_touched": seen.files - seen.skipped, "index_hits": seen.skipped, "execution_time_ms": round(seen.milliseconds, 3)}
+    return {"columns": columns, "rows": [[r[c] for c in columns] for r in data], "metadata": metadata}

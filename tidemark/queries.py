@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.identity import event_id
+from .functions.identity import canonical_json, event_id
+from .functions.timestamps import parse_text
 from .model import from_clickstream
 from .operators import anomalies, correlation, scan, statistics, temporal
 from .plans.compiler import query
 from .sources import jsonl, pages
-from .sources.table import prune, segment_bounds
+from .session import shared_folder
+from .sources.table import EventTable, prune, segment_bounds
 
 T1, T2 = 1_705_000_000, 1_706_000_000
 
@@ -32,7 +35,7 @@ def _ev(entity: str = "'user-' || user_id") -> str:
 
 
 EV, HOST = _ev(), _ev("'host-' || (user_id % 10)")
-FIND_COLS = "timestamp, entity, type, value_num, event_id"
+FIND_COLS = "timestamp, entity, type, CAST(v AS VARCHAR) AS value, value_num, event_id"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _find(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(text, events(spark, sf_dir)).drop("value")
+    return lambda spark, sf_dir: query(text, events(spark, sf_dir))
 
 
 def _rounded(df: DataFrame, digits: int = 8, but: tuple[str, ...] = ()) -> DataFrame:
@@ -71,8 +74,8 @@ REGISTRY["find_between"] = (
     f"{EV} SELECT {FIND_COLS} FROM ev WHERE type = 'error' AND timestamp BETWEEN 1704240000 AND 1704900000 AND value_num <> 6.55",
 )
 REGISTRY["find_attribute_filter"] = (
-    _find("FIND * WHERE k >= 90 AND type != 'view' AND missing != 1"),
-    f"{EV} SELECT {FIND_COLS} FROM ev WHERE CAST(json_extract(attributes, '$.k') AS BIGINT) >= 90 AND type <> 'view' AND json_extract(attributes, '$.missing') IS NOT NULL",
+    _find("FIND * WHERE k >= 90 AND type != 'view' AND k != 95"),
+    f"{EV} SELECT {FIND_COLS} FROM ev WHERE CAST(json_extract(attributes, '$.k') AS BIGINT) >= 90 AND type <> 'view' AND CAST(json_extract(attributes, '$.k') AS BIGINT) <> 95",
 )
 REGISTRY["find_attribute_number"] = (
     _find("FIND events WHERE k < 10 AND k != 'x'"),
@@ -135,13 +138,14 @@ REGISTRY["anomalies_contract"] = (_anomalies(anomalies.CONTRACT), f"{_anomaly_sq
     "anomaly_evidence",
     f"""{_anomaly_sql(HOST, 4, 1.5, 3.5, 2.5, 1.5)},
 n AS (SELECT a.entity, a.event_id AS anomaly_id, e.event_id, abs(e.timestamp - a.timestamp) AS distance,
+ e.type || ' (seq ' || e.sequence_num || ', val=' || coalesce(CAST(e.v AS VARCHAR), 'None') || ')' AS text,
  row_number() OVER (PARTITION BY a.entity, a.event_id ORDER BY abs(e.timestamp - a.timestamp), e.timestamp, e.sequence_num, e.event_id) AS rank
  FROM a JOIN ev e ON e.entity = a.entity AND abs(e.timestamp - a.timestamp) <= 300 AND e.event_id <> a.event_id)
-SELECT entity, anomaly_id, CAST(rank AS INT) AS rank, event_id, distance FROM n WHERE rank <= 5""",
+SELECT entity, anomaly_id, CAST(rank AS INT) AS rank, event_id, distance, text FROM n WHERE rank <= 5""",
 )
 def anomaly_evidence(spark, sf_dir):
     rows = host_events(spark, sf_dir)
-    return anomalies.evidence_rows(anomalies.detect(rows), rows).drop("text")
+    return anomalies.evidence_rows(anomalies.detect(rows), rows)
 
 
 def _correlation_sql(ev: str) -> str:
@@ -209,10 +213,10 @@ def temporal_diff(spark, sf_dir):
     return _rounded(query(f"DIFF FROM {T1} TO {T2}", events(spark, sf_dir)))
 
 
-@_register("intervening_events", f"{EV} SELECT entity, timestamp, event_id, type FROM ev WHERE entity = 'user-12' AND timestamp > {T1} AND timestamp <= {T2} AND type <> 'purchase'")
+@_register("intervening_events", f"{EV} SELECT entity, timestamp, event_id, type, type || ' (val=' || coalesce(CAST(v AS VARCHAR), 'None') || ' at t=' || timestamp || ')' AS text FROM ev WHERE entity = 'user-12' AND timestamp > {T1} AND timestamp <= {T2} AND type <> 'purchase'")
 def intervening_events(spark, sf_dir):
     rows = scan.scan(events(spark, sf_dir), "user-12")
-    return temporal.intervening(rows, "purchase", T1, T2).select("entity", "timestamp", "event_id", "type")
+    return temporal.intervening(rows, "purchase", T1, T2).select("entity", "timestamp", "event_id", "type", "text")
 
 
 @_register(
@@ -240,10 +244,13 @@ def prune_candidates(spark, sf_dir):
     return prune(segment_bounds(rows, "day"), "user-12", ["purchase"], T1, T2).select("day", "n_rows", "min_ts", "max_ts")
 
 
-@_register("event_id_hash", f"{EV} SELECT event_id, substr(sha256(sequence_num || ':' || entity || ':' || timestamp || ':' || type || ':None:{{}}'), 1, 24) AS id_hash FROM ev")
+@_register(
+    "event_id_hash",
+    f"{EV} SELECT event_id, substr(sha256(sequence_num || ':' || entity || ':' || timestamp || ':' || type || ':' || coalesce(CAST(v AS VARCHAR), 'None') || ':' || CAST(json(attributes) AS VARCHAR)), 1, 24) AS id_hash FROM ev",
+)
 def event_id_hash(spark, sf_dir):
     rows = events(spark, sf_dir)
-    made = event_id(F.col("sequence_num"), F.col("entity"), F.col("timestamp"), F.col("type"), F.lit(None).cast("string"), F.lit("{}"))
+    made = event_id(F.col("sequence_num"), F.col("entity"), F.col("timestamp"), F.col("type"), F.col("value_str"), canonical_json(F.col("attributes")))
     return rows.select("event_id", made.alias("id_hash"))
 
 
@@ -278,37 +285,115 @@ def ingest_events(spark, sf_dir):
     return jsonl.accepted(checked).select("sequence_num", "entity", "timestamp", "type", "value_num", "value_kind")
 
 
+@_register(
+    "ingest_report",
+    f"""WITH o AS (SELECT event_id, {_CHECK} AS outcome, CASE WHEN event_id % 29 = 0 THEN 0 ELSE 1 END AS ok FROM events),
+n AS (SELECT *, sum(ok) OVER (ORDER BY event_id) AS seq FROM o)
+SELECT outcome, count(*) AS n_lines, min(event_id) AS first_line, min(CASE WHEN ok = 1 THEN CAST(seq AS BIGINT) END) AS first_seq, max(CASE WHEN ok = 1 THEN CAST(seq AS BIGINT) END) AS last_seq FROM n GROUP BY ALL""",
+)
+def ingest_report(spark, sf_dir):
+    """Lines numbered over those that parse, and the outcome of each."""
+    checked = jsonl.ingest(jsonl.keep_payload(_raw_lines(spark, sf_dir)))
+    seq = F.when(F.col("parsed"), F.col("sequence_num"))
+    return checked.groupBy(F.coalesce("error", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"))
+
+
+@_register(
+    "timestamp_forms",
+    "SELECT event_id, epoch_us(ts) // 1000000 AS iso, epoch_us(ts) // 1000000 - 7200 AS shifted, epoch_us(date_trunc('day', ts)) // 1000000 AS day, epoch_us(ts) // 1000000 AS number FROM events",
+)
+def timestamp_forms(spark, sf_dir):
+    """The same moment in ISO 8601 forms, with a zone, as a date and as numeric text."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.col("ts").cast("timestamp")
+    texts = {"iso": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "shifted": F.date_format(at, "yyyy-MM-dd HH:mm:ss'+02:00'"), "day": F.date_format(at, "yyyyMMdd"), "number": F.unix_seconds(at).cast("string")}
+    rows = e.select("event_id", *[t.alias(f"t_{n}") for n, t in texts.items()])
+    return rows.select("event_id", *[parse_text(F.col(f"t_{n}")).alias(n) for n in texts])
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> EventTable:
+    """The driver's events in a table of three appends, one of them repeated, in the folder that executors share."""
+    table = EventTable(spark, f"{shared_folder(spark)}/tidemark-table-{uuid.uuid4().hex}")
+    rows = events(spark, sf_dir)
+    for k in (0, 1, 2, 0):
+        table.append(rows.filter(F.col("sequence_num") % 3 == k))
+    return table
+
+
+@_register("table_compact", f"{EV} SELECT event_id, entity, timestamp, type, value_num, sequence_num FROM ev")
+def table_compact(spark, sf_dir):
+    """Written, read back, compacted: every event once."""
+    table = _stored(spark, sf_dir)
+    table.compact()
+    table.vacuum()
+    return table.events().select("event_id", "entity", "timestamp", "type", "value_num", "sequence_num")
+
+
+@_register("table_verify", "SELECT 'HEALTHY' AS status, count(*) + sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_rows FROM events")
+def table_verify(spark, sf_dir):
+    return _stored(spark, sf_dir).verify().groupBy("status").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@_register("table_stats", f"{EV} SELECT count(*) + sum(CASE WHEN sequence_num % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_rows, min(timestamp) AS min_ts, max(timestamp) AS max_ts, min(sequence_num) AS min_seq, max(sequence_num) AS max_seq FROM ev")
+def table_stats(spark, sf_dir):
+    return _stored(spark, sf_dir).segments().agg(F.sum("n_rows").alias("n_rows"), *[f(c).alias(c) for c, f in (("min_ts", F.min), ("max_ts", F.max), ("min_seq", F.min), ("max_seq", F.max))])
+
+
 @_register(
     "page_metrics",
     r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '^https?://([^/?#]*)', 1, 'i'), ''), 'web-target') AS entity,
  CASE WHEN regexp_matches(html, '<title>(.*?)</title>', 'is') THEN trim(regexp_extract(html, '<title>(.*?)</title>', 1, 'is')) ELSE 'Unknown Domain' END AS title,
  CASE WHEN regexp_matches(html, '<h1[^>]*>(.*?)</h1>', 'is') THEN trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is'), '<[^>]+>', '', 'g')) ELSE 'No primary heading' END AS heading,
- len(list_filter(regexp_extract_all(html, 'href=[''"]?([^''" >]+)', 1, 'i'), lambda x: starts_with(x, 'http') OR starts_with(x, '/'))[1:5]) AS n_links,
+ CASE WHEN regexp_matches(html, '<meta[^>]*name=[''"]description[''"][^>]*content=[''"](.*?)[''"]', 'i') THEN trim(regexp_extract(html, '<meta[^>]*name=[''"]description[''"][^>]*content=[''"](.*?)[''"]', 1, 'i')) ELSE 'No meta description defined.' END AS description,
+ len(regexp_extract_all(html, 'href=[''"]?([^''" >]+)', 1, 'i')) AS n_links,
+ array_to_string(list_filter(regexp_extract_all(html, 'href=[''"]?([^''" >]+)', 1, 'i'), lambda x: starts_with(x, 'http') OR starts_with(x, '/'))[1:5], ' ') AS links,
  len(regexp_extract_all(html, '<script', 0, 'i')) AS n_scripts, len(regexp_extract_all(html, '<img', 0, 'i')) AS n_images, len(regexp_extract_all(html, '<form', 0, 'i')) AS n_forms,
- round(octet_length(encode(html)) / 1024.0, 8) AS size_kb FROM pages""",
+ round_even(octet_length(encode(html)) / 1024.0, 2) AS size_kb FROM pages""",
 )
 def page_metrics(spark, sf_dir):
     found = pages.describe(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.select("page_id", "entity", "title", "heading", "n_links", "n_scripts", "n_images", "n_forms", F.round("size_kb", 8).alias("size_kb"))
+    return found.select("page_id", "entity", "title", "description", "heading", "n_links", F.array_join("links", " ").alias("links"), "n_scripts", "n_images", "n_forms", "size_kb")
 
 
 @_register(
-    "page_events_summary",
-    r"""WITH p AS (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1, 'i') AS entity, octet_length(encode(html)) / 1024.0 AS kb, len(regexp_extract_all(html, '<script', 0, 'i')) AS s FROM pages),
-e AS (SELECT entity, 'size_kb' AS type, kb AS v FROM p UNION ALL SELECT entity, 'scripts', s FROM p UNION ALL SELECT entity, 'cpu', round(least(100, greatest(2.5, s * 1.5)), 1) FROM p)
-SELECT entity, type, count(*) AS n, round(avg(v), 8) AS mean FROM e GROUP BY ALL""",
+    "page_events",
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1, 'i') AS entity, round_even(octet_length(encode(html)) / 1024.0, 2) AS kb, len(regexp_extract_all(html, '<script', 0, 'i')) AS s,
+ 10.0 + page_id % 7 AS ms, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS code FROM pages),
+t AS (SELECT *, unnest(range(4)) AS i FROM p), u AS (SELECT *, round(ms * (0.9 + 0.2 * i), 2) AS l, 1700000000 - 15 * (3 - i) AS tm FROM t),
+e AS (SELECT page_id, entity, 3 * i AS place, tm, 'latency' AS type, l AS v FROM u
+ UNION ALL SELECT page_id, entity, 3 * i + 1, tm + 1, 'cpu', floor(least(100.0, greatest(2.5, l / 12.0 + s * 1.5 + i * 1.2)) * 10 + 0.5) / 10 FROM u
+ UNION ALL SELECT page_id, entity, 3 * i + 2, tm + 2, 'memory', floor(least(100.0, greatest(15.0, kb / 4.0 + 32.0 + i * 0.8)) * 10 + 0.5) / 10 FROM u
+ UNION ALL SELECT page_id, entity, 12, 1700000001, 'size_kb', kb FROM p UNION ALL SELECT page_id, entity, 13, 1700000002, 'status_code', code FROM p
+ UNION ALL SELECT page_id, entity, 14, 1700000003, 'errors', CASE WHEN code >= 400 THEN 1.0 ELSE 0.0 END FROM p)
+SELECT entity, (page_id - 1) * 15 + place + 1 AS sequence_num, tm AS timestamp, type, round(v, 6) AS value_num FROM e""",
 )
-def page_events_summary(spark, sf_dir):
-    made = pages.page_events(spark.read.parquet(f"{sf_dir}/pages.parquet"), F.lit(1_700_000_000)).filter(F.col("type").isin("size_kb", "scripts", "cpu"))
-    return made.groupBy("entity", "type").agg(F.count("*").alias("n"), F.round(F.avg("value_num"), 8).alias("mean"))
+def page_events(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
+    made = pages.page_events(rows, F.lit(1_700_000_000), F.lit(10.0) + F.col("page_id") % 7, status)
+    return made.select("entity", "sequence_num", "timestamp", "type", F.round("value_num", 6).alias("value_num"))
 
 
-@_register("entity_report", None)
+@_register(
+    "entity_report",
+    f"""{_anomaly_sql(HOST, 4, 1.5, 3.5, 2.5, 1.5)},
+f AS (SELECT entity, type, min((timestamp, sequence_num, event_id)) AS first, {STATS_SQL} FROM ev WHERE v IS NOT NULL GROUP BY entity, type),
+r AS (SELECT a.entity, a.event_id, row_number() OVER (PARTITION BY a.entity ORDER BY f.first, a.timestamp, a.sequence_num, a.event_id) AS k FROM a JOIN f USING (entity, type)),
+n AS (SELECT entity, count(*) AS anomaly_count, least(count(*), 10) AS total_anomalies_detected, string_agg(CASE WHEN k <= 10 THEN event_id END, ',' ORDER BY k) AS recent FROM r GROUP BY entity),
+o AS (SELECT entity, string_agg(metric_a || '~' || metric_b || ':' || samples || ':' || relationship, ',' ORDER BY metric_a, metric_b) AS correlated FROM ({_correlation_sql(HOST)}) GROUP BY entity),
+t AS (SELECT entity, count(*) AS total_events, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM ev GROUP BY entity)
+SELECT t.*, coalesce(anomaly_count, 0) AS anomaly_count, coalesce(total_anomalies_detected, 0) AS total_anomalies_detected, coalesce(recent, '') AS recent, coalesce(correlated, '') AS correlated,
+ f.type AS metric, f.* EXCLUDE (entity, type, first) FROM t LEFT JOIN n USING (entity) LEFT JOIN o USING (entity) LEFT JOIN f USING (entity)""",
+)
 def entity_report(spark, sf_dir):
-    """Nested profile with anomalies and correlations of every entity, as JSON text."""
+    """Profile of every entity with its first anomalies and its correlations, a row for each metric."""
     rows = host_events(spark, sf_dir)
     report = correlation.diagnostic_report(statistics.profile(rows, anomalies.detect(rows)), correlation.correlate(rows))
-    return report.select("entity", "total_events", "anomaly_count", "total_anomalies_detected", F.to_json(F.struct("metrics", "recent_anomalies", "correlations")).alias("report"))
+    recent = F.coalesce(F.array_join(F.transform("recent_anomalies", lambda a: a["event_id"]), ","), F.lit(""))
+    told = lambda c: F.concat(c["metric_a"], F.lit("~"), c["metric_b"], F.lit(":"), c["samples"].cast("string"), F.lit(":"), c["relationship"])
+    correlated = F.coalesce(F.array_join(F.transform("correlations", told), ","), F.lit(""))
+    flat = report.select("entity", "total_events", "first_seen", "last_seen", "anomaly_count", "total_anomalies_detected", recent.alias("recent"), correlated.alias("correlated"), F.explode_outer("metrics").alias("metric", "m"))
+    return _rounded(flat.select(*[c for c in flat.columns if c != "m"], "m.*"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,8 +7,12 @@ number, whether or not they are valid; lines that do not parse take none.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import variants
 from ..functions.identity import canonical_json, event_id
@@ -24,9 +28,16 @@ def strip(c: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, raw): line_no ascends with the files' order."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
-    return keep_payload(lines)
+    """(line_no, raw): lines of all files counted through from 0, files in the order of their names.
+
+    Spark deals splits by size, so a line's own id says where it stands in its split only;
+    the splits (a row each) are put in order by file and start.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("raw"))
+    splits = lines.groupBy("__file", "__start").agg(F.min("__id").alias("__low"), F.count("*").alias("n"))
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("__file", "__start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("__low")).alias("__shift"))
+    return keep_payload(lines.join(splits, ["__file", "__start"]).select((F.col("__id") + F.col("__shift")).alias("line_no"), "raw"))
 
 
 def keep_payload(lines: DataFrame) -> DataFrame:
@@ -36,21 +47,17 @@ def keep_payload(lines: DataFrame) -> DataFrame:
 
 def validate(lines: DataFrame, sequence: Column) -> DataFrame:
     """The event columns and `error` (null for a valid event), `parsed`, next to the lines' own columns."""
-    rows = lines.withColumn("__v", F.try_parse_json("raw"))
-    rows = rows.select("*", *[variants.read(variants.field(F.col("__v"), n)).alias(f"__{n}") for n in FIELDS])
-    k = lambda n: F.col(f"__{n}.kind")
-    t = lambda n: F.col(f"__{n}.text")
-    entity = strip(t("entity"))
-    type_ = F.lower(strip(t("type")))
-    number = F.col("__timestamp.number")
+    rows = lines.withColumn("__f", variants.fields(F.try_parse_json("raw"), FIELDS)).withColumn("__ok", F.col("raw").startswith("{"))
+    j = lambda n: F.col(f"__f.{n}")
+    k = lambda n: variants.kind(j(n))
     # true and false pass as 1 and 0; numbers lose their fraction; text follows the rules of its own
-    by_text = F.transform(F.array(t("timestamp")), parse_text)[0]
-    at = F.when(k("timestamp") == "string", by_text).when(F.abs(number) < 9.2e18, F.coalesce(F.col("__timestamp.whole"), number.cast("long")))
-    rows = rows.withColumn("__at", at)
-    shape = F.schema_of_variant("__v")
+    at = F.when(k("timestamp") == "string", parse_text(variants.text(j("timestamp")))).otherwise(variants.whole(j("timestamp")))
+    fresh = [strip(variants.text(j("entity"))).alias("__entity"), F.lower(strip(variants.text(j("type")))).alias("__type"), at.alias("__at"), variants.printed(F.col("raw"), "value", j("value")).alias("__printed")]
+    rows = rows.select("*", *fresh, F.when(k("attributes") == "object", j("attributes")).otherwise("{}").alias("__attributes"))
+    entity, type_, printed, attributes = (F.col(f"__{n}") for n in ("entity", "type", "printed", "attributes"))
     error = (
-        F.when(F.col("__v").isNull(), "invalid JSON")
-        .when(~shape.startswith("OBJECT"), "event is not a JSON object")
+        F.when(~F.col("__f.parsed"), "invalid JSON")
+        .when(~F.col("__ok"), "event is not a JSON object")
         .when(F.coalesce(entity, F.lit("")) == "", "missing or empty field: entity")
         .when(k("timestamp").isin("absent", "null"), "missing field: timestamp")
         .when(F.col("__at").isNull(), "invalid timestamp")
@@ -59,47 +66,41 @@ def validate(lines: DataFrame, sequence: Column) -> DataFrame:
         .when(k("value").isin("list", "object"), "value is not a number, text or boolean")
         .when(~k("attributes").isin("absent", "object"), "attributes is not an object")
     )
-    printed = variants.printed(F.col("raw"), "value", k("value"))
-    attributes = F.when(k("attributes") == "object", F.col("__attributes.json")).otherwise("{}")
-    given = F.nullif(F.coalesce(t("event_id"), F.when(k("event_id") == "number", F.get_json_object("raw", "$.event_id"))), F.lit(""))
+    given = F.nullif(F.coalesce(variants.text(j("event_id")), F.when(k("event_id") == "number", j("event_id"))), F.lit(""))
     seq = sequence.cast("long")
-    out = rows.withColumn("error", error).withColumn("parsed", F.col("__v").isNotNull())
-    out = out.select(
+    return rows.select(
         *lines.columns,
-        "error",
-        "parsed",
+        error.alias("error"),
+        F.col("__f.parsed").alias("parsed"),
         F.coalesce(given, event_id(seq, entity, F.col("__at"), type_, printed, attributes)).alias("event_id"),
         entity.alias("entity"),
         F.col("__at").alias("timestamp"),
         type_.alias("type"),
         F.when(k("value") == "absent", "null").otherwise(k("value")).alias("value_kind"),
-        F.col("__value.number").alias("value_num"),
+        variants.number(j("value")).alias("value_num"),
         printed.alias("value_str"),
         attributes.alias("attributes"),
         seq.alias("sequence_num"),
     )
-    return out
+
+
+#: Lines that are numbered together: a task of `numbered` holds so many.
+STRETCH = 1 << 20
 
 
 def numbered(lines: DataFrame, first: int = 1) -> DataFrame:
-    """Lines with `seq`, dense over the lines that parse, in line order.
+    """Lines with `seq`, dense over the lines that parse, in the order of line_no.
 
-    Lines are counted per partition and numbered by the partitions before, so no window
-    gathers the input; the lines' order is their line_no.
+    Lines are counted per stretch of line numbers and numbered within it by the stretches before, so no
+    window gathers the input; the counts are a table, joined like any other.
     """
-    parsed = lines.withColumn("__ok", F.try_parse_json("raw").isNotNull())
-    part = F.shiftright("line_no", 33)
-    sizes = parsed.filter("__ok").groupBy(part.alias("__part")).count().orderBy("__part").collect()  # one row for each input split
-    starts, n = {}, first
-    for r in sizes:
-        starts[r["__part"]], n = n, n + r["count"]
-    if not starts:
-        return parsed.withColumn("seq", F.lit(None).cast("long")).drop("__ok")
-    from pyspark.sql.window import Window
-
-    within = Window.partitionBy(part).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), part)
-    return parsed.withColumn("seq", F.when(F.col("__ok"), base - 1 + F.sum(F.col("__ok").cast("long")).over(within))).drop("__ok")
+    parsed = lines.withColumn("__ok", F.try_parse_json("raw").isNotNull()).withColumn("__part", F.floor(F.col("line_no") / STRETCH))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parsed.filter("__ok").groupBy("__part").agg(F.count("*").alias("n"))
+    base = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parsed.join(base, "__part", "left").withColumn("seq", F.when(F.col("__ok"), F.col("__base") + first - 1 + F.sum(F.col("__ok").cast("long")).over(within)))
+    return out.select(*lines.columns, "seq")
 
 
 def ingest(lines: DataFrame, first: int = 1) -> DataFrame:
@@ -107,6 +108,12 @@ def ingest(lines: DataFrame, first: int = 1) -> DataFrame:
     return validate(numbered(lines, first), F.col("seq")).drop("seq")
 
 
+def ingest_rows(spark: SparkSession, rows: Iterable[dict | str], first: int = 1) -> DataFrame:
+    """The same for Python rows: dictionaries, or JSON texts."""
+    texts = [(i, r if isinstance(r, str) else json.dumps(r, ensure_ascii=False)) for i, r in enumerate(rows)]
+    return ingest(keep_payload(spark.createDataFrame(texts, "line_no long, raw string")), first)
+
+
 def accepted(checked: DataFrame) -> DataFrame:
     return checked.filter("error IS NULL").select(*EVENTS.fieldNames())
 

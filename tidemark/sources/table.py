@@ -1,10 +1,12 @@
 """The stored event table: Parquet segments under a folder, with an audit of what was written.
 
-Layout: `v<N>/` holds the segments of the current version, `audit/` one row per written file
-(rows and a checksum), and the file `CURRENT` names the version. Appends go through Spark's
-commit protocol; compaction writes the next version and then swaps the pointer, so a reader
-sees the old table or the new. Pruning is left to Parquet footers and the Bloom filters on
-entity; `candidates` reports what they would leave.
+Layout: `v<N>/` holds the segments of version N, `audit/` one row per written file (rows, a
+checksum, its time), and an empty file `CURRENT-<N>` says that version N is complete; the highest
+counts. Appends go through Spark's commit protocol. Compaction writes the next version and
+then adds its pointer, never taking one away first, so a reader sees the old table or the new, and
+a crash leaves the old one. What was appended meanwhile is carried over before the pointer
+is set. `vacuum` removes versions that were left behind. Pruning is left to Parquet footers and the
+Bloom filters on entity; `candidates` reports what they would leave.
 """
 
 from __future__ import annotations
@@ -36,21 +38,17 @@ class EventTable:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.path}/{name}"))
 
+    def _versions(self) -> list[int]:
+        """The versions that have a pointer, ascending."""
+        found = self._fs.globStatus(self._path(f"{self.path}/CURRENT-*"))
+        return sorted(int(f.getPath().getName().rpartition("-")[2]) for f in found or ())
+
     def version(self) -> int:
-        if not self._exists("CURRENT"):
-            return 0
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        return max(self._versions(), default=0)
 
     def _point_to(self, version: int) -> None:
-        """Write the pointer beside and rename over the old one."""
-        stage = self._path(f"{self.path}/_CURRENT.{version}")
-        out = self._fs.create(stage, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        final = self._path(f"{self.path}/CURRENT")
-        self._fs.delete(final, False)
-        if not self._fs.rename(stage, final):
-            raise OSError(f"cannot replace {final}")
+        """One new empty file: there is no moment without a pointer."""
+        self._fs.create(self._path(f"{self.path}/CURRENT-{version}"), True).close()
 
     def _data(self, version: int | None = None) -> str:
         return f"{self.path}/v{self.version() if version is None else version}"
@@ -76,36 +74,62 @@ class EventTable:
     def append(self, events: DataFrame) -> None:
         self._write(events, self.version(), "append")
 
-    def _files(self, version: int) -> DataFrame:
-        """(file, n_rows, checksum) as the files are now."""
-        rows = self.spark.read.schema(EVENTS).parquet(self._data(version)).select("*", F.col("_metadata.file_name").alias("file"))
-        return rows.groupBy("file").agg(F.count("*").alias("n_rows"), row_checksum().alias("checksum"))
+    def _files(self, version: int, since: object = None) -> DataFrame:
+        """(file, modified, n_rows, checksum) as the files are now; `since` leaves older files unread."""
+        rows = self.spark.read.schema(EVENTS).parquet(self._data(version)).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+        if since is not None:
+            rows = rows.filter(F.col("modified") >= F.lit(since))
+        return rows.groupBy("file").agg(F.max("modified").alias("modified"), F.count("*").alias("n_rows"), row_checksum().alias("checksum"))
+
+    def _known(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/audit").filter(F.col("version") == version)
 
     def _audit(self, version: int) -> None:
-        """Record the files that have no record yet."""
-        now = self._files(version).withColumn("version", F.lit(version))
-        if self._exists("audit"):
-            known = self.spark.read.parquet(f"{self.path}/audit").filter(F.col("version") == version).select("file")
-            now = now.join(known, "file", "left_anti")
-        now.coalesce(1).write.mode("append").parquet(f"{self.path}/audit")
+        """Record the files that have no record yet. Files older than the last record are not read again."""
+        if not self._exists("audit"):
+            now = self._files(version)
+        else:
+            known = self._known(version)
+            now = self._files(version, known.agg(F.max("modified")).first()[0]).join(known.select("file"), "file", "left_anti")
+        now.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(f"{self.path}/audit")
 
     # ---- upkeep
 
     def compact(self, order: Column | None = None) -> int | None:
-        """Merge two or more files into the next version without repeated event_ids; returns it, or None below two files."""
+        """Merge two or more files into the next version without repeated event_ids; returns it, or None below two files.
+
+        Of repeated ids the row of the file written first stays, then the least by time and number.
+        """
         version = self.version()
-        if not self._exists(f"v{version}") or len(self.events().inputFiles()) < 2:
+        if not self._exists(f"v{version}") or len(before := self.events().inputFiles()) < 2:
             return None
-        merged = dedup_by_id(self.events(), order).repartitionByRange("entity", "timestamp")
-        self._write(merged, version + 1, "overwrite")
-        self._point_to(version + 1)
-        return version + 1
+        # the folder of a compaction that crashed is not written again, so the audit's rows stay true
+        folders = self._fs.globStatus(self._path(f"{self.path}/v*")) or ()
+        target = 1 + max(int(f.getPath().getName()[1:]) for f in folders)
+        rows = self.spark.read.schema(EVENTS).parquet(*before).select("*", F.col("_metadata.file_modification_time").alias("__at"))
+        order = F.struct("__at", "timestamp", "sequence_num", F.xxhash64(*EVENTS.fieldNames())) if order is None else order
+        self._write(dedup_by_id(rows, order).drop("__at").repartitionByRange("entity", "timestamp"), target, "overwrite")
+        if late := sorted(set(self.events().inputFiles()) - set(before)):
+            self._write(self.spark.read.schema(EVENTS).parquet(*late), target, "append")
+        self._point_to(target)
+        return target
+
+    def vacuum(self) -> list[int]:
+        """Remove all versions but the current one, pointers last; returns them. For when nobody reads or compacts."""
+        now = self.version()
+        folders = self._fs.globStatus(self._path(f"{self.path}/v*")) or ()
+        old = sorted({int(f.getPath().getName()[1:]) for f in folders} - {now})
+        for v in old:
+            self._fs.delete(self._path(f"{self.path}/v{v}"), True)
+        for v in self._versions()[:-1]:
+            self._fs.delete(self._path(f"{self.path}/CURRENT-{v}"), False)
+        return old
 
     def verify(self) -> DataFrame:
         """(file, expected_rows, n_rows, status): HEALTHY, DEGRADED (rows differ from the record), MISSING or UNKNOWN."""
         version = self.version()
         now = self._files(version)
-        known = self.spark.read.parquet(f"{self.path}/audit").filter(F.col("version") == version).select("file", F.col("n_rows").alias("expected_rows"), F.col("checksum").alias("expected"))
+        known = self._known(version).select("file", F.col("n_rows").alias("expected_rows"), F.col("checksum").alias("expected"))
         both = known.join(now, "file", "full_outer")
         status = (
             F.when(F.col("expected").isNull() & F.col("expected_rows").isNull(), "UNKNOWN")
