@@ -32,6 +32,12 @@ def test_baseline_is_exact_and_the_model_beats_it(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_places_in_many_rows_give_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).repartition(5).cache()
+    key = lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 6))
+    assert sorted(map(key, bloom_lm.score(docs).collect())) == sorted(map(key, bloom_lm.score(docs, bucket_blocks=1).collect()))
+
+
 def test_filter_reads_counts_back(spark):
     df = spark.createDataFrame([("a b a b a c",)] * 20 + [("a b d",)], "text string").repartition(3)
     df = df.selectExpr("'1' AS doc_id", "true AS train", "text").mapInArrow(bloom_lm._to_blocks, bloom_lm._BLOCK_ROW).filter("ids IS NOT NULL")

@@ -3,7 +3,7 @@ import re
 
 import xxhash
 
-from tidemark.llm import components, simhash
+from tidemark.llm import components, similar, simhash
 
 
 def words(text):
@@ -103,24 +103,24 @@ def test_similar_groups_against_brute_force(spark):
     want = classes(sorted(sets), lambda a, b: jac(a, b) >= 0.8)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     for limit in (64, 2):
-        kept = {r.doc_id for r in simhash.drop_similar(df, long_list=limit).collect()}
+        kept = {r.doc_id for r in similar.drop_similar(df, long_list=limit).collect()}
         assert kept == {n for n, c in want.items() if n == c}
 
 
 def test_drop_similar_odd_rows(odd_docs, clashing, no_docs):
-    out = simhash.drop_similar(odd_docs)
+    out = similar.drop_similar(odd_docs)
     assert out.columns == odd_docs.columns
     assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 3, 7, 8]
-    wide = simhash.drop_similar(clashing)
+    wide = similar.drop_similar(clashing)
     assert wide.columns == clashing.columns and wide.count() == 5
-    assert simhash.drop_similar(no_docs).count() == 0
+    assert similar.drop_similar(no_docs).count() == 0
 
 
 def groups_equal_brute_force(spark, texts, **options):
     sets = {n: set(shingles(t, 5)) for n, t in enumerate(texts)}
     want = classes(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    kept = {r.doc_id for r in simhash.drop_similar(df, **options).collect()}
+    kept = {r.doc_id for r in similar.drop_similar(df, **options).collect()}
     assert kept == {n for n, c in want.items() if n == c}
     return len(texts) - len(kept)
 
@@ -140,9 +140,21 @@ def test_families_over_one_template(spark):
 
 
 def test_long_lists_are_compared_whole(spark, monkeypatch):
-    """Even without a hint of what is frequent, members unlike every leader meet."""
-    monkeypatch.setattr(simhash, "frequent_shingles", lambda *a, **k: (simhash.np.zeros(0, "uint64"), simhash.np.zeros(0, "int64")))
-    test_families_over_one_template(spark)
+    """Without fingerprints and leaders every pair of the long lists must still be found."""
+    monkeypatch.setattr(similar, "_by_fingerprint", lambda nodes: similar.scratch_table(nodes.selectExpr("node a", "node b").limit(0), "near"))
+    rows = near_rows()
+    assert groups_equal_brute_force(spark, [r[1] for r in rows], long_list=2, leader_rounds=0) > 0
+    assert groups_equal_brute_force(spark, [r[1] for r in rows], long_list=2, leader_rounds=1) > 0
+
+
+def test_short_texts_and_mixed_sizes(spark):
+    """Sets of one to forty shingles, down to texts of one word, with copies that gain or lose a few words."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(120):
+        text = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 45))]
+        texts += [" ".join(text), " ".join(text + ["tail"] * rng.randrange(3)), " ".join(text[: len(text) - rng.randrange(2)])]
+    assert groups_equal_brute_force(spark, texts) > 100
 
 
 def test_appended_and_replaced_blocks(spark):

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, mix64, release, scratch_table, whole_text
+from .common import LOWER_AZ, forget, mix64, scratch_table, whole_text
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -366,19 +366,33 @@ def _ratio_bins(bigram: np.ndarray, unigram: np.ndarray) -> np.ndarray:
     return np.where(bigram > 0, np.clip(at, 1, _BINS), 0).astype(np.int64)
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, **filter_options) -> DataFrame:
+def _exact_counts(asked: DataFrame, blocks: int, bucket_blocks: int) -> DataFrame:
+    """(c, at, first): the count of a token and up to `bucket_blocks` places (block, idx) that ask for it; `first` marks one row of each token.
+
+    The places of a frequent token fill many rows; their sum is joined back, so no row grows with the corpus.
+    """
+    buckets = -(-max(1, blocks) // bucket_blocks)
+    bucket = F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")
+    parts = asked.groupBy("token", bucket.alias("bucket")).agg(F.sum("n").alias("c"), F.collect_list(F.struct("block", "idx")).alias("at"))
+    if buckets == 1:
+        return scratch_table(parts.select("c", "at", F.lit(True).alias("first")), "counts")
+    parts = scratch_table(parts, "places")
+    sums = scratch_table(parts.groupBy("token").agg(F.sum("c").alias("c"), F.min("bucket").alias("low")), "sums")
+    out = scratch_table(parts.select("token", "bucket", "at").join(sums, "token").select("c", "at", (F.col("bucket") == F.col("low")).alias("first")), "counts")
+    forget(parts, sums)
+    return out
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, bucket_blocks: int = 2000, **filter_options) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from the rows whose fold isn't `held`."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), trains_on(F.col(doc_id), folds, held).alias("train"), whole_text(text).alias("text"))
     table = scratch_table(rows.mapInArrow(_to_blocks, _BLOCK_ROW), "blocks")
     blocks = table.filter("ids IS NOT NULL").select(*_BLOCK)
     asked = table.filter("token IS NOT NULL").select("token", "block", "idx", "n")
-    counts = scratch_table(asked.groupBy("token").agg(F.sum("n").alias("c"), F.collect_list(F.struct("block", "idx")).alias("at")).select("c", "at"), "counts")
-    release(spark)
-    sums = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counts = _exact_counts(asked, blocks.count(), bucket_blocks)
+    sums = counts.filter("c > 0 AND first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(sums[0]), int(sums[1])
     levels = read_levels(blocks, n, **filter_options)
-    release(spark)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
@@ -413,7 +427,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     asking = blocks.unionByName(levels, allowMissingColumns=True)
     # ids travel as text: a null among integers would turn them into floats
     read = scratch_table(asking.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, _READ), "read")
-    release(spark)
+    forget(table, counts, levels)
     seen = read.select(F.explode(F.arrays_zip("bins", "times")).alias("z")).groupBy("z.bins").agg(F.sum("z.times").alias("n")).collect()
     weights = fit_weights({divmod(r["bins"], _BINS + 1): r["n"] for r in seen})
 

@@ -3,58 +3,70 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Whitespace of the text contracts: space and \t \n \v \f \r.
 SPACES = "[\\x20\\x09-\\x0D]+"
 LOWER_AZ = {i: i + 32 for i in range(65, 91)}
 MASK64 = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-            own = spark.sparkContext.getCheckpointDir()
-        found = own
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+def _hadoop(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    """A fresh path in the shared folder, deleted when the application ends at the latest."""
+    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    hpath, fs = _hadoop(spark, path)
+    fs.deleteOnExit(hpath)
     return path
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back.
+#: Whole texts cross to Python in batches of so many rows, where the caller left Spark's default.
+BATCH_ROWS = 1000
 
-    Cuts the lineage: a lost executor costs a reread, and the optimizer sees real sizes.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def modest_batches(spark: SparkSession) -> None:
+    """Bound the memory of an Arrow batch: texts are long, and Spark's default is ten thousand of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over.
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back.
 
-    They go when the driver's collector finds their handles dead, and a driver with little
-    to do seldom collects; a long job calls this between its steps.
+    Cuts the lineage: a lost executor costs a reread, and the optimizer sees real sizes.
+    Shuffle files of the write go when it is over. `forget` deletes the table.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    modest_batches(spark)
+    path = scratch_path(spark, name)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again."""
+    for t in tables:
+        hpath, fs = _hadoop(t.sparkSession, t._scratch)
+        fs.delete(hpath, True)
 
 
 def whole_text(name: str = "text") -> Column:
@@ -108,6 +120,18 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def window_codes(seq: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit code for each run of `size` numbers."""
+    n = len(seq) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    code = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + mix64(seq[i : i + n], i)
+    return code
+
+
 def ragged_take(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Concatenate values[starts[r] : starts[r] + lengths[r]] for each r of rows."""
     n = lengths[rows]

@@ -1,125 +1,199 @@
 """Exact de-duplication with two passes over Bloom filters.
 
-Pass one hashes every row into a pair of bit arrays per partition, "set once" and "set
-again", and merges the partitions' arrays segment by segment. Pass two probes the
-"set again" array: a row with a clear bit is the only one of its text and passes straight
-through, without a shuffle; only the rest are grouped by their SHA-256, so a false positive
-costs a shuffled row and never a wrong answer.
+Pass one notes for every row's hash which bits of a filter it sets, and merges what the partitions
+note, segment by segment, into the bits that two rows or more have set. Pass two probes these: a row with a
+clear bit is the only one of its text and passes straight through, without a shuffle; only
+the rest are grouped by their SHA-256, so a false positive costs a shuffled row and never a
+wrong answer.
 
-The filter has a fixed ceiling (`max_filter_bytes`); beyond the rows that it suits, more
-rows count as possibly repeated and results stay the same.
+The filter grows with the rows, at `bits_per_row`. All bits of a hash lie in one segment. A filter of up to
+`broadcast_bytes` is broadcast; a larger one stays where it is, and hashes (eight bytes a row,
+those that repeat within a partition left out) go to their segments. The result is the same.
 
 Texts are equal when identical after each run of [\\x20\\x09-\\x0D] became one space. Null
 text counts as empty. Of equal texts the smallest doc_id stays (null ids sort last). Rows
 that repeat both text and doc_id count as copies as well: exactly one row of a group stays.
+A very long text is hashed whole. An empty table gives no rows. Extra columns come back as they were from
+`deduplicate`, whatever their names; `classify` does not read them.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, mix64, scratch_table, whole_text
+from .common import SPACES, forget, mix64, scratch_table, whole_text
 
-SEGMENT_BITS = 1 << 19
 PROBES = 4
+#: Hashes that are noted together.
+CHUNK = 1 << 18
 
 
 def text_sha256(text: str = "text") -> Column:
     return F.sha2(F.regexp_replace(whole_text(text), SPACES, " ").cast("binary"), 256)
 
 
-def _sha_key(sha: pd.Series) -> np.ndarray:
-    """The first 64 bits of the hexadecimal digests."""
-    return np.array([int(x[:16], 16) for x in sha], dtype=np.uint64)
+def sha_key(sha: str = "sha") -> Column:
+    """64 bits of a digest, made in the JVM."""
+    return F.xxhash64(sha)
+
+
+def filter_shape(rows: int, bits_per_row: int) -> tuple[int, int]:
+    """Segments and bits of each: two thousand segments while they are of 64 KB to 16 MB."""
+    bits = max(rows, 1) * bits_per_row
+    segment_bits = 1 << min(27, max(19, (bits // 2000).bit_length()))
+    return -(-bits // segment_bits), segment_bits
+
+
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+
 
+def _bits(keys: np.ndarray, segment_bits: int) -> np.ndarray:
+    """The bits of each key within its segment, a row for each probe."""
+    return np.stack([mix64(keys, i) % np.uint64(segment_bits) for i in range(PROBES)]).astype(np.int64)
 
-def _positions(keys: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions for each key, one row for each probe."""
-    return np.stack([mix64(keys, i) % np.uint64(bits) for i in range(PROBES)]).astype(np.int64)
 
+def _keys(batches, name: str = "key"):
+    """The hashes of a partition, a chunk at a time."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch.column(name).to_numpy().view(np.uint64))
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield np.concatenate(waiting)
+            waiting, n = [], 0
+    if n:
+        yield np.concatenate(waiting)
 
-def _partial_filters(bits: int):
-    """Per partition, the segments it touches: which bits were set, and which of them by two rows or more."""
+
+def _notes(segments: int, segment_bits: int):
+    """For each chunk and segment the bits that are set, and which of them by two rows or more."""
 
     def run(batches):
-        once: dict[int, np.ndarray] = {}
-        again: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            pos = _positions(_sha_key(pdf["sha"]), bits)
+        for keys in _keys(batches):
             # a row may hit one bit with two probes; that is not a repetition
-            pos = np.sort(pos, axis=0)
-            own = np.ones(pos.shape, dtype=bool)
-            own[1:] = pos[1:] != pos[:-1]
-            flat, n = np.unique(pos[own], return_counts=True)
-            for seg in np.unique(flat // SEGMENT_BITS):
-                lo, hi = np.searchsorted(flat, [seg * SEGMENT_BITS, (seg + 1) * SEGMENT_BITS])
-                here, many = flat[lo:hi] - seg * SEGMENT_BITS, n[lo:hi] > 1
-                a = once.setdefault(int(seg), np.zeros(SEGMENT_BITS, dtype=bool))
-                b = again.setdefault(int(seg), np.zeros(SEGMENT_BITS, dtype=bool))
-                b[here] |= many | a[here]
-                a[here] = True
-        for seg in once:
-            yield pd.DataFrame({"seg": [seg], "once": [_pack(once[seg])], "again": [_pack(again[seg])]})
+            at = np.sort(_segment(keys, segments) * segment_bits + _bits(keys, segment_bits), axis=0)
+            own = np.ones(at.shape, dtype=bool)
+            own[1:] = at[1:] != at[:-1]
+            flat, n = np.unique(at[own], return_counts=True)
+            segs, lows = np.unique(flat // segment_bits, return_index=True)
+            highs = np.append(lows[1:], len(flat))
+            bits = [(flat[a:b] - s * segment_bits).astype("<u4").tobytes() for s, a, b in zip(segs, lows, highs)]
+            again = [np.packbits(n[a:b] > 1).tobytes() for a, b in zip(lows, highs)]
+            yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(bits, pa.binary()), pa.array(again, pa.binary())], names=["seg", "bits", "again"])
 
     return run
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(x).tobytes(), 1)
+def _merged(segment_bits: int):
+    """Streaming: the notes of a segment follow each other. Memory is one segment, twice."""
+
+    def run(batches):
+        seg = once = twice = None
+        for batch in batches:
+            for s, bits, again in zip(*(batch.column(c).to_pylist() for c in ("seg", "bits", "again"))):
+                if s != seg:
+                    if seg is not None:
+                        yield _row(seg, twice)
+                    seg, once, twice = s, np.zeros(segment_bits // 8, np.uint8), np.zeros(segment_bits // 8, np.uint8)
+                at = np.frombuffer(bits, "<u4").astype(np.int64)
+                byte, mask = at >> 3, (1 << (at & 7)).astype(np.uint8)
+                more = np.unpackbits(np.frombuffer(again, np.uint8), count=len(at)).astype(bool) | ((once[byte] & mask) != 0)
+                np.bitwise_or.at(twice, byte[more], mask[more])
+                np.bitwise_or.at(once, byte, mask)
+        if seg is not None:
+            yield _row(seg, twice)
 
+    return run
 
-def _unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), dtype=np.uint8)
 
+def _row(seg: int, bits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["seg", "bits"])
 
-def _merge_filters(batches):
-    """Streaming merge; memory is the segments of this task, whatever the number of partials."""
-    once: dict[int, np.ndarray] = {}
-    again: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        for seg, a, b in zip(pdf["seg"], pdf["once"], pdf["again"]):
-            a, b = _unpack(a), _unpack(b)
-            if seg in once:
-                again[seg] = again[seg] | b | (once[seg] & a)
-                once[seg] = once[seg] | a
-            else:
-                once[seg], again[seg] = a, b
-    for seg in again:
-        if again[seg].any():
-            yield pd.DataFrame({"seg": [seg], "again": [zlib.compress(again[seg].tobytes(), 1)]})
 
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each column of bit numbers, whether all are set."""
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
 
-def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20):
-    """Pass one. Returns a probe: sha column -> boolean column "maybe repeated"."""
-    spark = hashes.sparkSession
-    segments = max(1, min(-(-rows * bits_per_row // SEGMENT_BITS), max_filter_bytes * 8 // SEGMENT_BITS))
-    bits = segments * SEGMENT_BITS
-    parts = hashes.select("sha").mapInPandas(_partial_filters(bits), "seg long, once binary, again binary")
-    tasks = max(1, min(segments // 16, 512))
-    merged = parts.repartition(tasks, "seg").mapInPandas(_merge_filters, "seg long, again binary")
-    field = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.collect():  # at most max_filter_bytes in all; built by all tasks at once
-        field[row.seg * SEGMENT_BITS // 8 : (row.seg + 1) * SEGMENT_BITS // 8] = _unpack(row.again)
-    shared = spark.sparkContext.broadcast(field.tobytes())
 
-    @F.pandas_udf("boolean")
-    def maybe_repeated(sha: pd.Series) -> pd.Series:
-        table = np.frombuffer(shared.value, dtype=np.uint8)
-        pos = _positions(_sha_key(sha), bits)
-        hit = (table[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1
-        return pd.Series(hit.all(axis=0))
+def _probed(segments: int, segment_bits: int):
+    """Streaming: a segment's bits, then the hashes that ask; the hashes that may be repeated."""
 
-    return maybe_repeated
+    def run(batches):
+        seg = bits = None
+        for batch in batches:
+            out = []
+            segs = batch.column("seg").to_numpy()
+            cuts = np.flatnonzero(np.diff(segs, prepend=segs[0] - 1 if len(segs) else 0))
+            for a, b in zip(cuts, np.append(cuts[1:], len(segs))):
+                part = batch.slice(a, b - a)
+                if segs[a] != seg:
+                    seg, bits = segs[a], None
+                if (found := part.column("bits")[0].as_py()) is not None:
+                    bits, part = np.frombuffer(found, np.uint8), part.slice(1)
+                if bits is not None and part.num_rows:
+                    keys = part.column("key").to_numpy().view(np.uint64)
+                    out.append(keys[_set(bits, _bits(keys, segment_bits))].view(np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64())], names=["key"])
+
+    return run
+
+
+def _asking(segments: int):
+    """The distinct hashes of each chunk with their segments."""
+
+    def run(batches):
+        for keys in _keys(batches):
+            keys = np.unique(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(_segment(keys, segments)), pa.array(keys.view(np.int64), pa.int64())], names=["seg", "key"])
+
+    return run
+
+
+class RepeatedFilter:
+    """Tells which hashes may be repeated: exact for those it denies."""
+
+    def __init__(self, rows: DataFrame, bits_per_row: int = 16, broadcast_bytes: int = 64 << 20):
+        """Pass one, over the `key` of all rows."""
+        segments, segment_bits = filter_shape(rows.count(), bits_per_row)
+        notes = rows.select("key").mapInArrow(_notes(segments, segment_bits), "seg long, bits binary, again binary")
+        dealt = notes.repartition(min(segments, 2000), "seg").sortWithinPartitions("seg")
+        field = dealt.mapInArrow(_merged(segment_bits), "seg long, bits binary")
+        self.keys = self.maybe = None
+        if segments * segment_bits // 8 > broadcast_bytes:
+            field = scratch_table(field, "filter")
+            asking = rows.select("key").mapInArrow(_asking(segments), "seg long, key long")
+            both = asking.unionByName(field, allowMissingColumns=True).repartition(min(segments, 2000), "seg").sortWithinPartitions("seg", F.col("bits").isNull())
+            self.keys = scratch_table(both.mapInArrow(_probed(segments, segment_bits), "key long").distinct(), "repeated")
+            forget(field)
+            return
+        table = np.zeros((segments, segment_bits // 8), np.uint8)
+        for r in field.toLocalIterator():  # at most broadcast_bytes in all
+            table[r["seg"]] = np.frombuffer(r["bits"], np.uint8)
+        shared = rows.sparkSession.sparkContext.broadcast(table.tobytes())
+
+        @F.pandas_udf("boolean")
+        def maybe(key: pd.Series) -> pd.Series:
+            keys = key.to_numpy().view(np.uint64)
+            return pd.Series(_set(np.frombuffer(shared.value, np.uint8), _segment(keys, segments) * segment_bits + _bits(keys, segment_bits)))
+
+        self.maybe = maybe
+
+    def flag(self, rows: DataFrame) -> DataFrame:
+        """Pass two: `maybe` for each row by its `key`."""
+        if self.keys is None:
+            return rows.withColumn("maybe", self.maybe("key"))
+        return rows.join(self.keys.withColumn("__in", F.lit(True)), "key", "left").withColumn("maybe", F.col("__in").isNotNull()).drop("__in")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_no, doc_id, sha), one row per input row, kept as a scratch table so that row_no is stable."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_sha256(text).alias("sha"))
+    """(row_no, doc_id, sha, key), one row per input row, kept as a scratch table so that row_no is stable."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_sha256(text).alias("sha")).withColumn("key", sha_key())
     return scratch_table(rows.withColumn("row_no", F.monotonically_increasing_id()), "sha")
 
 
@@ -130,12 +204,12 @@ def _winners(repeated: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **filter_options) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. An empty table gives no rows."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = fingerprints(docs, doc_id, text)
-    probe = repeated_filter(rows, rows.count(), **filter_options)
-    flagged = scratch_table(rows.withColumn("maybe", probe("sha")), "flagged")
-    single = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    many = flagged.filter("maybe").select("doc_id", "row_no", "sha")
+    marked = scratch_table(RepeatedFilter(rows, **filter_options).flag(rows).drop("key"), "flagged")
+    forget(rows)
+    single = marked.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    many = marked.filter("maybe").select("doc_id", "row_no", "sha")
     joined = many.join(_winners(many), "sha").select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
     return single.unionByName(joined)
 
@@ -146,13 +220,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **f
     Rows whose digest is surely single never move. Of the others only those with the
     smallest id of their digest meet, pre-aggregated, to leave one of literally repeated rows.
     """
-    names = docs.columns
-    rows = scratch_table(docs.select(F.col(doc_id).alias("doc_id"), text_sha256(text).alias("sha")), "sha")
-    probe = repeated_filter(rows, rows.count(), **filter_options)
-    tagged = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), F.col(doc_id).alias("doc_id"), text_sha256(text).alias("sha")).withColumn("maybe", probe("sha"))
-    single = tagged.filter(~F.col("maybe")).select("row")
+    sha = text_sha256(text).alias("sha")
+    rows = scratch_table(docs.select(F.col(doc_id).alias("doc_id"), sha).withColumn("key", sha_key()), "sha")
+    found = RepeatedFilter(rows, **filter_options)
     order = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id"))
-    keep = scratch_table(rows.withColumn("maybe", probe("sha")).filter("maybe").groupBy("sha").agg(order.alias("w")).select("sha", F.col("w.doc_id").alias("keep_id")), "groups")
+    keep = scratch_table(found.flag(rows).filter("maybe").groupBy("sha").agg(order.alias("w")).select("sha", F.col("w.doc_id").alias("keep_id")), "groups")
+    forget(rows)
+    tagged = found.flag(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), sha).withColumn("key", sha_key()))
+    single = tagged.filter(~F.col("maybe")).select("row")
     stay = tagged.filter("maybe").join(keep, "sha").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    one = stay.groupBy("sha").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(one).select("row.*")
+    return single.unionByName(stay.groupBy("sha").agg(F.first("row").alias("row")).select("row")).select("row.*")

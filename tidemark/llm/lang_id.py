@@ -1,78 +1,104 @@
 """Language identification that asks whole words first and backs off to shorter character n-grams.
 
 Training counts words, and the character n-grams of words with a space at both ends, per
-language over a bounded sample of labelled rows (`max_rows_per_lang`, picked by a hash of the
-row) of the `max_langs` most frequent languages. The model keeps the most frequent `max_words` words and `max_grams` n-grams of each
-length for each language, so its size is bounded by the number of languages alone.
+language over a bounded sample of labelled rows: `max_rows_per_lang` of each language, picked by
+a hash of the row. Nothing else bounds the model: every word and n-gram of the sample, and every
+language, is in it. It is a table of hashed items, each with the languages that have it.
 
 A known word scores the log relative frequency that each language gives it. An unseen word
 is scored by its known n-grams of the longest length that has any, averaged. A language
-without the item scores a fixed penalty. The text's language has the largest sum.
-
-Null text and text without a letter give "und" with score 0, as does a model without any
-labelled row. Rows are independent; repeated rows, ids and extra columns change nothing.
+without the item scores a fixed penalty. The text's language has the largest sum; of equal sums the
+first by name.
+
+A letter is a character of a Unicode letter category, in training and in prediction; digits,
+fractions and numerals are none. Null text and text without a letter give "und" with score
+0, as does a model without any labelled row. A very long text is scored whole. Rows are independent; repeated
+rows and ids change nothing. An empty table gives no rows. Extra columns may be kept; columns named
+lang_pred or score give way to the results.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import packed, scratch_table, unpacked, worker_state
+from .common import forget, packed, ragged_take, scratch_table, unpacked, worker_state
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Words longer than this are scored by n-grams only and not remembered.
-LONG_WORD = 48
+#: How many words a worker remembers.
 MEMORY = 200_000
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_rows_per_lang: int = 4000, max_langs: int = 1000, max_words: int = 15_000, max_grams: int = 6_000, longest: int = 5) -> dict:
-    """Fit on rows with a non-null language. Returns {"langs": [...], "words": {...}, "grams": {n: {...}}} of log10 frequencies."""
+@functools.cache
+def letters() -> re.Pattern:
+    """Runs of letters: word characters but digits, underscores and the numerals that are neither digits nor letters."""
+    odd = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and unicodedata.category(c)[0] != "L"]
+    return re.compile(rf"[^\W\d_{''.join(odd)}]+")
+
+
+def item_hash(item: str) -> int:
+    """Spark's xxhash64 of the item, as unsigned."""
+    return xxhash.xxh64_intdigest(item.encode("utf-8", "surrogatepass"), 42)
+
+
+class Model:
+    """Per level (0: words, n: n-grams of that length) hashed items, ascending; the languages that have each and how far each lies above its floor."""
+
+    def __init__(self, langs: list[str], levels: list[dict]):
+        self.langs, self.levels = langs, levels
+
+
+
+
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_rows_per_lang: int = 4000, longest: int = 5) -> Model:
+    """Fit on rows with a non-null language."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    if not sizes:
-        return {"langs": [], "words": {}, "grams": [{} for _ in range(longest)]}
-    # the shares are literals of the plan: no row moves to be sampled
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_rows_per_lang / n))])
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    sizes = scratch_table(rows.groupBy("lang").agg(F.count("*").alias("rows")), "lang-rows")
+    langs = [r["lang"] for r in sizes.select("lang").orderBy("lang").collect()]
+    if not langs:
+        forget(sizes)
+        return Model([], [])
+    # no row moves to be sampled: the table of languages is small
+    share = F.least(F.lit(1.0), F.lit(float(max_rows_per_lang)) / F.col("rows")) * (1 << 30)
+    sample = rows.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item"))
     words = scratch_table(words.groupBy("lang", "item").agg(F.count("*").alias("n")), "lang-words")
-    padded = words.filter(F.length("item") <= LONG_WORD).select("lang", "n", F.concat(F.lit(" "), "item", F.lit(" ")).alias("w"))
-    cut = F.expr(f"flatten(transform(sequence(1, {longest}), k -> transform(sequence(1, greatest(length(w) - k + 1, 0), 1), i -> named_struct('k', k, 'item', substring(w, i, k)))))")
-    grams = padded.filter(F.length("w") >= longest).select("lang", "n", F.explode(cut).alias("g"))
-    short = padded.filter(F.length("w") < longest).select("lang", "n", F.explode(F.expr("flatten(transform(sequence(1, length(w)), k -> transform(sequence(1, length(w) - k + 1), i -> named_struct('k', k, 'item', substring(w, i, k)))))")).alias("g"))
-    counted = grams.unionByName(short).groupBy("lang", F.col("g.k").alias("k"), F.col("g.item").alias("item")).agg(F.sum("n").alias("n"))
-    every = scratch_table(words.select("lang", F.lit(0).alias("k"), "item", "n").unionByName(counted), "lang-items")
-    totals = {(r.lang, r.k): r.n for r in every.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()}
-    w = Window.partitionBy("lang", "k").orderBy(F.desc("n"), "item")
-    most = F.when(F.col("k") == 0, max_words).otherwise(max_grams)
-    top = every.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
-    langs = sorted({k[0] for k in totals})
+    padded = words.select("lang", "n", F.concat(F.lit(" "), "item", F.lit(" ")).alias("w"))
+    cut = f"flatten(transform(sequence(1, least({longest}, length(w))), k -> transform(sequence(1, length(w) - k + 1), i -> named_struct('k', k, 'item', substring(w, i, k)))))"
+    grams = padded.select("lang", "n", F.explode(F.expr(cut)).alias("g"))
+    counted = grams.groupBy("lang", F.col("g.k").alias("k"), F.col("g.item").alias("item")).agg(F.sum("n").alias("n"))
+    every = scratch_table(words.select("lang", F.lit(0).alias("k"), "item", "n").unionByName(counted).select("lang", "k", F.xxhash64("item").alias("h"), "n"), "lang-items")
     at = {x: i for i, x in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
-    for r in top.select("lang", "k", "item", "n").toLocalIterator():
-        row = tables[r.k].get(r.item)
-        if row is None:
-            row = tables[r.k][r.item] = np.full(len(langs), np.nan, np.float32)
-        row[at[r.lang]] = np.log10(r.n / totals[r.lang, r.k])
-    # a language without the item: rarer than its rarest kept one
-    for k, table in enumerate(tables):
-        floor = np.array([np.log10(0.5 / totals.get((x, k), 1)) for x in langs], np.float32)
-        floor = np.minimum(floor, -6.5 if k == 0 else -5.5)
-        for row in table.values():
-            np.copyto(row, floor, where=np.isnan(row))
-    return {"langs": langs, "words": tables[0], "grams": tables[1:]}
+    levels = []
+    for k in range(longest + 1):
+        # bounded by the sample; the driver sees hashes and counts only
+        got = every.filter(F.col("k") == k).select("h", "lang", "n").toArrow()
+        h = got.column("h").to_numpy().view(np.uint64)
+        names = got.column("lang").combine_chunks().dictionary_encode() if got.num_rows else None
+        of = np.array([at[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if names is not None else np.zeros(0, np.int64)
+        n = got.column("n").to_numpy().astype(np.float64)
+        total = np.bincount(of, weights=n, minlength=len(langs))
+        # a language without the item: rarer than its rarest one
+        floor = np.minimum(np.log10(0.5 / np.maximum(total, 1)), -6.5 if k == 0 else -5.5)
+        by = np.lexsort((of, h))
+        h, of, n = h[by], of[by], n[by]
+        keys, starts = np.unique(h, return_index=True)
+        levels.append({"keys": keys, "starts": np.append(starts, len(h)).astype(np.int64), "lang": of, "above": (np.log10(n / total[of]) - floor[of]).astype(np.float32), "floor": floor})
+    forget(sizes, words, every)
+    return Model(langs, levels)
 
 
 class Scorer:
-    """Scores texts in a worker; rows of words met are remembered, up to MEMORY words."""
+    """Scores texts in a worker; what words met say is remembered, up to MEMORY words."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: Model):
         self.model = model
         self.reset()
 
@@ -86,57 +112,90 @@ class Scorer:
                 return row
 
         self.rows, self.new = Rows(), new
-        self.table = np.zeros((0, len(self.model["langs"])), np.float32)
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.model["words"].get(word)
-        if known is not None:
-            return known
-        padded = f" {word} "
-        for n in range(len(self.model["grams"]), 0, -1):
-            table = self.model["grams"][n - 1]
-            found = [g for g in map(table.get, [padded[i : i + n] for i in range(len(padded) - n + 1)]) if g is not None]
-            # the padding alone says nothing
-            if found and (n > 1 or len(found) > 2 or " " not in table):
-                return np.sum(found, axis=0, dtype=np.float32) / np.float32(len(found))
-        return np.zeros(len(self.model["langs"]), np.float32)
+        # of each remembered word its level (or one past the last, if nothing is known) and what languages have above their floors
+        self.level = np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.lang, self.above = np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+    def _learn(self) -> None:
+        words, many = self.new, len(self.model.langs)
+        level = np.full(len(words), len(self.model.levels), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, language, above
+        left = np.arange(len(words))
+        for k in [0, *range(len(self.model.levels) - 1, 0, -1)]:
+            table = self.model.levels[k]
+            if not len(left) or not len(table["keys"]):
+                continue
+            if k == 0:
+                items, owner = [words[i] for i in left.tolist()], left
+            else:
+                cuts = [[p[i : i + k] for i in range(len(p) - k + 1)] for p in (f" {words[i]} " for i in left.tolist())]
+                if k == 1:
+                    # the padding alone says nothing
+                    cuts = [c[1:-1] for c in cuts]
+                items, owner = [g for c in cuts for g in c], np.repeat(left, list(map(len, cuts)))
+            keys = np.fromiter(map(item_hash, items), np.uint64, len(items))
+            near = np.minimum(np.searchsorted(table["keys"], keys), len(table["keys"]) - 1)
+            hit = table["keys"][near] == keys
+            near, owner = near[hit], owner[hit]
+            if not len(owner):
+                continue
+            n = np.bincount(owner, minlength=len(words))
+            size = table["starts"][near + 1] - table["starts"][near]
+            lang = ragged_take(table["starts"], np.diff(table["starts"]), table["lang"], near)
+            above = ragged_take(table["starts"], np.diff(table["starts"]), table["above"], near) / n[np.repeat(owner, size)]
+            place, back = np.unique(np.repeat(owner, size) * many + lang, return_inverse=True)
+            found.append((place // many, place % many, np.bincount(back, weights=above)))
+            known = np.unique(owner)
+            level[known] = k
+            left = np.setdiff1d(left, known, assume_unique=True)
+        word, lang, above = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        by = np.argsort(word, kind="stable")
+        sizes = np.bincount(word, minlength=len(words))
+        starts = len(self.lang) + np.cumsum(sizes) - sizes
+        self.level = np.concatenate((self.level, level))
+        self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
+        self.lang, self.above = np.concatenate((self.lang, lang[by])), np.concatenate((self.above, above[by].astype(np.float32)))
+        self.new.clear()
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs = self.model["langs"]
+        langs, find = self.model.langs, letters().findall
         if len(self.rows) > MEMORY:
             self.reset()
         row = self.rows.__getitem__
-        at = [list(map(row, LETTERS.findall(t.lower()))) if t else [] for t in texts]
+        at = [np.array(list(map(row, find(t.lower()))), np.int64) if t and langs else np.zeros(0, np.int64) for t in texts]
         if self.new:
-            self.table = np.concatenate((self.table, np.stack([self.word(w) for w in self.new])))
-            self.new.clear()
+            self._learn()
+        floors = np.stack([t["floor"] for t in self.model.levels] + [np.zeros(len(langs))]) if langs else None
         names, scores = [], []
         for rows in at:
-            if not rows or not langs:
+            if not len(rows):
                 names.append("und")
                 scores.append(0.0)
                 continue
-            total = self.table[np.array(rows)].sum(axis=0, dtype=np.float64)
+            total = np.bincount(self.level[rows], minlength=len(floors)) @ floors
+            total = total + np.bincount(ragged_take(self.starts, self.sizes, self.lang, rows), weights=ragged_take(self.starts, self.sizes, self.above, rows), minlength=len(langs))
             best = int(total.argmax())
             # words of a text are not independent, so the evidence is tempered
             names.append(langs[best])
-            scores.append(float(1 / np.exp((total - total[best]) * 0.5).sum()))
+            scores.append(float(1 / np.exp(np.maximum((total - total[best]) * 0.5, -700)).sum()))
         return names, scores
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns (all of `docs` by default) with lang_pred and score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    # arrays of a bounded sample
+    shared = spark.sparkContext.broadcast((model.langs, model.levels))
     key = shared._jbroadcast.id()
     kept = docs.select(packed(docs, keep, "lang_pred", "score"), F.col(text).cast("string").alias("__whole"))
     schema = kept.drop("__whole").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        scorer = worker_state(("language", key), lambda: Scorer(shared.value))
+        scorer = worker_state(("language", key), lambda: Scorer(Model(*shared.value)))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 250):
+                part = batch.slice(lo, 250)
                 langs, scores = scorer.score(part.column("__whole").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["__row", "lang_pred", "score"])
 

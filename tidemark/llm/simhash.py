@@ -14,33 +14,36 @@ flipped, and two members differ in at most two bits exactly when they share such
 linking each to the smallest of the key is exact and linear.
 
 Null text counts as empty; an empty text has the zero fingerprint and links like any other.
+A very long text is hashed whole, its bits counted in stretches. Rows that repeat id or text
+each have their own result; ties cannot arise, as a component is named by its smallest
+doc_id. An empty table gives no rows. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
-import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from .common import LOWER_AZ, mix64, scratch_table, whole_text
+from .common import forget, mix64, scratch_table, whole_text
 from .components import components
 
-WORDS = re.compile("[^\x20\x09-\x0d]+")
-ASCII_SPACES = re.compile(b"[\x20\x09-\x0d]+")
 _UPPER = bytes(range(65, 91))
 _AZ = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
+def lower_words(text: str) -> list[bytes]:
+    """The words in UTF-8, A-Z in lower case. On bytes, split() cuts at just \\x20 and \\x09-\\x0D."""
+    return text.encode("utf-8", "surrogatepass").translate(_AZ).split()
+
+
 def shingle_hashes(text: str, width: int) -> np.ndarray:
     """XXH64 (seed 42) of the word shingles, repeats included; all words as one if there are fewer than `width`."""
-    raw = b" ".join([w for w in ASCII_SPACES.split(text.encode("utf-8", "surrogatepass").translate(_AZ)) if w])
+    raw = b" ".join(lower_words(text))
     if not raw:
         return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
@@ -113,20 +116,21 @@ def _word(c: str) -> Column:
 
 
 def links_within_two_bits(nodes: DataFrame, long_list: int = 64) -> DataFrame:
-    """(a, b): pairs of distinct eight-byte fingerprints, enough to connect all that differ in at most two bits.
+    """(a, b): pairs of distinct eight-byte fingerprints, enough to connect all that differ in at most two bits. A scratch table.
 
     Every pair found in a list of up to `long_list` members is there; of longer lists, the stars of their one-flip keys.
     """
     tuples = lane_tuples()
     postings = scratch_table(_postings(nodes, tuples), "postings")
-    sizes = postings.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = scratch_table(sizes, "lists")
+    sizes = scratch_table(postings.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
     member = scratch_table(postings.join(sizes, ["t", "key"]), "members")
+    forget(postings, sizes)
     short = member.filter(F.col("n") <= long_list)
     left, right = short.select("t", "key", F.col("fp").alias("a")), short.select("t", "key", F.col("fp").alias("b"))
-    pairs = left.join(right, ["t", "key"]).filter("a < b").select("a", "b")
-    pairs = pairs.filter(shared_bytes("a", "b", 8) >= 6)
-    pairs = pairs.filter(F.bit_count(_word("a").bitwiseXOR(_word("b"))) <= 2).distinct()
+    # a pair met under one tuple, three or all six of them: two, three or four whole lanes; the tally goes on over all positions
+    tally = left.join(right, ["t", "key"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("tuples"))
+    pairs = tally.filter(F.when(F.col("tuples") >= 6, 8).otherwise(shared_bytes("a", "b", 8)) >= 6).select("a", "b")
+    pairs = pairs.filter(F.bit_count(_word("a").bitwiseXOR(_word("b"))) <= 2)
 
     long = member.filter(F.col("n") > long_list).withColumn("w", _word("fp"))
     masks = [[0] + [1 << (8 * (7 - p) + b) for p in range(8) if p not in t for b in range(8)] for t in tuples]
@@ -136,7 +140,9 @@ def links_within_two_bits(nodes: DataFrame, long_list: int = 64) -> DataFrame:
     balls = scratch_table(balls, "balls")
     first = scratch_table(balls.groupBy("t", "ball").agg(F.min("fp").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m"), "stars")
     stars = balls.join(first, ["t", "ball"]).select("a", F.col("fp").alias("b")).filter("a <> b").distinct()
-    return pairs.unionByName(stars)
+    out = scratch_table(pairs.unionByName(stars), "near")
+    forget(member, balls, first)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, long_list: int = 64) -> DataFrame:
@@ -147,167 +153,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = scratch_table(add_fingerprints(rows, width=width, keep=["doc_id"]), "fingerprints")
     nodes = scratch_table(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    linked = components(links_within_two_bits(nodes, long_list))
+    links = links_within_two_bits(nodes, long_list)
+    linked = components(links)
     # (fp, component as a fingerprint) -> the smallest doc_id of the component
     named = linked.join(nodes, linked["node"] == nodes["fp"]).groupBy("component").agg(F.min("low").alias("component_id"))
     named = scratch_table(named, "named")
     of_fp = linked.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     table = scratch_table(nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "classes")
+    forget(nodes, links, linked, named)
     return marked.join(table, "fp").select("doc_id", "fp", "component_id")
-
-
-# ---- groups by shingle similarity -----------------------------------------------------
-#
-# Groups by the similarity of word-shingle sets need no sketch: under one order of all
-# shingles, two sets of similarity s share one of the first n - ceil(s n) + 1 shingles of
-# each (prefix filter), so lists under those miss no pair. The order puts shingles that are
-# frequent in a sample last, which keeps lists short; any order gives the same groups.
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """The distinct shingle hashes, sorted."""
-    return np.unique(shingle_hashes(text, width))
-
-
-def _row_keys(doc_id: str, text: str) -> list[Column]:
-    whole = whole_text(text)
-    return [F.xxhash64(doc_id, whole).alias("k1"), F.xxhash64(whole, F.length(whole), doc_id).alias("k2")]
-
-
-def _sample(width: int):
-    def run(batches):
-        for batch in batches:
-            for t in batch.column("__whole").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], names=["h"])
-
-    return run
-
-
-def frequent_shingles(rows: DataFrame, width: int, sample: int = 10_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in a sample of rows, ascending, and how often they came. Only the order of shingles depends on it."""
-    share = min(1.0, sample / max(1, rows.count()))
-    some = rows.filter(F.pmod("k1", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("__whole")
-    counts = some.mapInArrow(_sample(width), "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    found = counts.orderBy(F.desc("c"), "h").limit(most).toArrow()
-    h, c = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
-    by = np.argsort(h)
-    return h[by], c[by]
-
-
-def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a set, rare ones first: a set of that similarity shares one that is among its own first, too."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    h, c = frequent
-    often = np.zeros(n, np.int64)
-    if len(h):
-        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
-        often = np.where(h[at] == shingles, c[at], 0)
-    return shingles[np.lexsort((shingles, often))][: n - math.ceil(similarity * n - 1e-9) + 1]
-
-
-def _prefixes(width: int, similarity: float, shared):
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sets = [shingle_set(t, width) for t in part.column("__whole").to_pylist()]
-                names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                firsts = [prefix(s, shared.value, similarity).view(np.int64) for s in sets]
-                packed = [s.astype(np.uint32).tobytes() for s in sets]
-                columns = [pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), *columns], names=["doc_id", "k1", "k2", "name", "size", "first", "shingles"])
-
-    return run
-
-
-def _fits(similarity: float) -> str:
-    """Size and positional filter: true of the first shingle that two sets of that similarity share."""
-    return f"1 + least(na - 1 - pa, nb - 1 - pb) >= {similarity / (1 + similarity)!r}D * (na + nb) - 1e-6D"
-
-
-def _similar(least: float):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                both = np.concatenate((np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)))
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                union = len(both) - same
-                keep.append(not union or same >= least * union - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, long_list: int = 24) -> DataFrame:
-    """(k1, k2, doc_id, n, keeper): one row per distinct (doc_id, text) with how often it came and whether it stays for its group.
-
-    Documents link when their sets of `width`-word shingles have a Jaccard similarity of
-    `similarity` or more; a group is a connected component, and its smallest doc_id stays
-    (null ids last). Lists of up to `long_list` members are paired off at once. In longer
-    ones every member is first held against the list's leader, twice; then all pairs that
-    are not in one group yet are held against each other, so that none is left out.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *_row_keys(doc_id, text), whole_text(text).alias("__whole"))
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, width))
-    schema = rows.drop("__whole").schema.add("name", "binary").add("size", "integer").add("first", ArrayType(LongType())).add("shingles", "binary")
-    marked = scratch_table(rows.mapInArrow(_prefixes(width, similarity, shared), schema), "prefixes")
-    nodes = marked.groupBy("name").agg(*[F.first(c).alias(c) for c in ("size", "first", "shingles")])
-    nodes = scratch_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    postings = nodes.select("node", F.col("size").alias("n"), F.posexplode("first").alias("p", "key"))
-    lists = Window.partitionBy("key")
-    member = scratch_table(postings.withColumn("m", F.count("*").over(lists)).filter("m > 1"), "members")
-    sets = nodes.select("node", "shingles")
-
-    def side(of: DataFrame, x: str, *more: str) -> DataFrame:
-        return of.select("key", *more, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
-
-    def verified(met: DataFrame) -> DataFrame:
-        pairs = met.filter(_fits(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch_table(pairs, "pairs")
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        return scratch_table(full.select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long"), "links")
-
-    short = member.filter(F.col("m") <= long_list)
-    links = verified(side(short, "a").join(side(short, "b"), "key").filter("a < b"))
-    long = member.filter(F.col("m") > long_list).drop("m")
-    for turn in range(3):
-        if long.isEmpty():
-            break
-        # what is in one group needs no more comparing; a list all in one group is done
-        group = components(links).withColumnRenamed("component", "g")
-        long = long.drop("g").join(group, "node", "left").withColumn("g", F.coalesce("g", "node"))
-        open_ = long.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key")
-        long = scratch_table(long.join(open_, "key", "left_semi"), "long")
-        if turn < 2:
-            # one order of leaders for all lists: lists that overlap share theirs, and few pairs are verified
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "p", "g")
-            lead = long.groupBy("key").agg(F.min(order).alias("l")).select("key", "l.node", "l.n", "l.p", F.col("l.g").alias("ga"))
-            met = side(lead, "a", "ga").join(side(long, "b", "g"), "key").filter("ga <> g")
-        else:
-            met = side(long.withColumnRenamed("g", "ga"), "a", "ga").join(side(long, "b", "g"), "key").filter("a < b AND ga <> g")
-        links = links.unionByName(verified(met))
-
-    linked = components(links).withColumnRenamed("node", "n_")
-    named = nodes.select("name", "node").join(linked, F.col("node") == F.col("n_"), "left").select("name", F.coalesce("component", "node").alias("component"))
-    placed = marked.join(scratch_table(named, "named"), "name").select("doc_id", "k1", "k2", "component")
-    placed = scratch_table(placed.groupBy("doc_id", "k1", "k2", "component").agg(F.count("*").alias("n")), "placed")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "k2")
-    first = scratch_table(placed.groupBy("component").agg(F.min(order).alias("w")).select("component", F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2")), "keepers")
-    return placed.join(first, "component").select("k1", "k2", "doc_id", "n", ((F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).alias("keeper"))
-
-
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The input rows with one document of each group, all columns as they came. Rows that repeat both doc_id and text leave one."""
-    placed = scratch_table(similar_groups(docs, doc_id, text, **options), "groups")
-    names = docs.columns
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), *_row_keys(doc_id, text))
-    gone = placed.filter("NOT keeper OR n > 1").select("k1", "k2")
-    often = placed.filter("keeper AND n > 1").select("k1", "k2")
-    single = rows.join(gone, ["k1", "k2"], "left_anti").select("row")
-    one = rows.join(often, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(one).select("row.*")
