@@ -12,20 +12,22 @@ Results: the kept blocks in page order, character references decoded, white spac
 block turned into one space, joined by one newline. Null html and html without text give
 the empty string. Null or unreadable urls have no host and learn no template. Page ids are
 never keys, so null, tied and repeated rows each give their own result; an empty table
-gives no rows and extra columns are not read.
+gives no rows. A very long or deeply nested page takes linear time and is parsed whole. Extra columns
+may be kept; one named `text` gives way to the result.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, scratch_table, unpacked
+from .common import forget, packed, scratch_table, unpacked
 
 # Fixed values of HTML: element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,17 +53,22 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 DROP_TAGS = set(
-    "head script style noscript template svg math canvas object embed iframe noembed noframes audio video map nav footer aside "
+    "head script style noscript template svg canvas object embed iframe noembed noframes audio video map nav footer aside "
     "form button select textarea input datalist dialog menu title xmp search".split()
 )
 DROP_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 #: Words of class and id names that mark page furniture.
 DROP_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead topbar toolbar "
-    "cookie cookies consent gdpr notice notices alert alerts disclaimer popup modal overlay newsletter subscribe subscription "
-    "signup login share sharing social related recommended recommendations teaser widget widgets pagination pager "
-    "comment comments commentlist disqus respond replies reply skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsored promo promos promotion "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars masthead topbar toolbar "
+    "cookie cookies consent gdpr disclaimer popup modal newsletter subscribe "
+    "signup login teaser widget widgets pagination pager comments commentlist disqus".split()
+)
+#: Words that do so only alone or among these: `share`, `related-posts`, but not `social-science` or `comment-theory`.
+WEAK_WORDS = set("share sharing social related recommended recommendations notice notices alert alerts overlay comment respond replies reply skip subscription sponsor footer".split())
+COMPANIONS = set(
+    "link links button buttons bar box list lists item items post posts article articles story stories icon icons block blocks section area "
+    "container wrapper wrap inner panel media site page top bottom left right to the content main form thread text message nav by and id".split()
 )
 PAGE_HEADER_WORDS = {"header"}
 #: Class names that begin like this describe an element's surroundings, not the element.
@@ -105,10 +112,50 @@ def _close(node: Node) -> None:
     node.hash = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+class _Open:
+    """The open elements, and for each tag name where they stand: to find one takes no search, so deep pages take linear time."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def innermost(self, tags) -> int:
+        """Where the innermost open element of the tags stands; 0, the root's place, if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def close_from(self, place: int) -> None:
+        """End the element at `place` and all within it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            if self.at[node.tag]:
+                self.at[node.tag].pop()
+            _close(node)
+
+    def end(self, tag: str) -> None:
+        """An end tag: its innermost element ends unless a cell or table lies between. A stray one is nothing."""
+        place = self.innermost((tag,))
+        if place and (tag in TABLE_ENDS or place >= self.innermost(("td", "th", "table"))):
+            self.close_from(place)
+
+    def end_before(self, tags, bound) -> None:
+        """What an opening tag ends: open elements of `tags` that stand within the innermost of `bound`."""
+        while (place := self.innermost(tags)) > self.innermost(bound):
+            self.close_from(place)
+
+
+#: End tags that reach across cells.
+TABLE_ENDS = {"tr", "table", "tbody", "thead", "tfoot", "td", "th", "body", "html"}
+P_BOUND = {"td", "th", "table", "div", "article", "section", "li", "body"}
+
+
 def parse(page: str) -> Node:
     """A forgiving tree: unclosed and misnested elements end where their surroundings do. One pass, no recursion."""
     root = Node("#root", "")
-    stack, at, end, tag_at = [root], 0, len(page), _TAG
+    open_, at, end, tag_at = _Open(root), 0, len(page), _TAG
+    stack = open_.stack
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -126,29 +173,23 @@ def parse(page: str) -> Node:
             elif two in ("!", "?") or (two == "/" and lt + 2 < end):
                 stop = page.find(">", lt)
                 at = end if stop < 0 else stop + 1
-            elif two.isascii() and two.isalpha() and tag_at is _TAG and page.find(">", lt) >= 0:
-                tag_at = _BARE_TAG  # a quote is never closed; ignore quotes from here on
-                at = lt
             elif two.isascii() and two.isalpha() and page.find(">", lt) < 0:
                 at = end  # a tag that the page's end cuts off
+            elif two.isascii() and two.isalpha() and tag_at is _TAG:
+                tag_at = _BARE_TAG  # a quote is never closed; ignore quotes from here on
+                at = lt
             else:
                 stack[-1].kids.append("<")
                 at = lt + 1
             continue
         at, closing, tag, attrs = m.end(), m[1], m[2].lower(), m[3]
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        _close(stack.pop())
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+            open_.end(tag)
             continue
-        if tag in CLOSES_P:
-            _end_open(stack, {"p"}, {"td", "th", "table", "div", "article", "section", "li", "body"} - {tag})
+        if tag in CLOSES_P and open_.at["p"]:
+            open_.end_before(("p",), P_BOUND - {tag})
         if tag in CLOSES:
-            _end_open(stack, *CLOSES[tag])
+            open_.end_before(*CLOSES[tag])
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
         if tag in VOID:
@@ -159,23 +200,11 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
             _close(node)
         else:
-            stack.append(node)
-    while stack:
-        _close(stack.pop())
+            open_.push(node)
+    open_.close_from(0)
     return root
 
 
-def _end_open(stack: list[Node], tags: set[str], bound: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            while len(stack) > i:
-                _close(stack.pop())
-            if tags == {"p"}:
-                return
-        elif stack[i].tag in bound:
-            return
-
-
 def is_furniture(node: Node, inside: bool) -> bool:
     """Whether tag, role, class or id name the element as something beside the article. `inside`: within the article."""
     if node.tag in DROP_TAGS or (node.tag == "header" and not inside):
@@ -204,7 +233,9 @@ def _names_furniture(name: str, inside: bool) -> bool:
     words = [w.lower() for w in _NAME_WORDS.findall(name)]
     if not words or words[0] in ABOUT_OTHERS:
         return False
-    return any(w in DROP_WORDS or w.startswith(DROP_STEMS) or (not inside and w in PAGE_HEADER_WORDS) for w in words)
+    if any(w in DROP_WORDS or w.startswith(DROP_STEMS) or (not inside and w in PAGE_HEADER_WORDS) for w in words):
+        return True
+    return any(w in WEAK_WORDS for w in words) and all(w in WEAK_WORDS or w in COMPANIONS for w in words)
 
 
 def _is_main(node: Node) -> bool:
@@ -239,7 +270,7 @@ def blocks(root: Node, template: frozenset = frozenset()) -> list[str]:
         words: list[str] = []
 
         def end_block():
-            if words and (t := " ".join(_html.unescape("".join(words)).split())):
+            if words and (t := " ".join("".join(words).split())):
                 out.append(t)
             words.clear()
 
@@ -249,7 +280,7 @@ def blocks(root: Node, template: frozenset = frozenset()) -> list[str]:
             if item is None:
                 end_block()
             elif item.__class__ is str:
-                words.append(item)
+                words.append(_html.unescape(item))  # a reference never reaches across a tag
             elif item is not top and is_furniture(item, held):
                 if item.tag in BLOCK:
                     end_block()
@@ -313,20 +344,21 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], names=["__row", "text"])
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None, min_pages: int = 5, min_share: float = 0.05, enough: int = 50) -> DataFrame:
     """The `keep` columns (all but html by default) with `text`.
 
     A subtree is template when it occurs in at least `min_pages` distinct pages of its host
-    and in at least `min_share` of them.
+    and in at least `min_share` of them; `enough` pages are enough on a host of any size.
     """
     names = [c for c in pages.columns if c != html] if keep is None else keep
     key = [F.xxhash64(url, html).alias("k1"), F.xxhash64(html, url, F.lit(1)).alias("k2")]
     occ = scratch_table(pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), *key).mapInArrow(_occurrences, _OCC), "subtrees")
     hosts = occ.filter("h IS NULL").groupBy("host").agg(F.countDistinct("page").alias("pages"))
     counts = occ.filter("h IS NOT NULL").groupBy("host", "h").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= min_pages)
-    template = scratch_table(counts.join(hosts, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "h"), "template")
+    template = scratch_table(counts.join(hosts, "host").filter(F.col("n") >= F.least(F.lit(float(enough)), min_share * F.col("pages"))).select("host", "h"), "template")
     marks = occ.filter("h IS NOT NULL").select("k1", "k2", "host", "h").join(template, ["host", "h"])
     marks = scratch_table(marks.groupBy("k1", "k2").agg(F.collect_set("h").alias("marks")), "marks")
     rows = pages.select(packed(pages, names, "text"), F.col(html).cast("string").alias("__html"), *key)
+    forget(occ, template)
     joined = rows.join(marks, ["k1", "k2"], "left").select("__row", "__html", "marks")
     return unpacked(joined.mapInArrow(_texts, joined.select("__row").schema.add("text", "string")), "text")
