@@ -1,33 +1,37 @@
 """Repeated line runs by distributed prefix doubling over line-id sequences.
 
-Every line gets a global position, ascending by document and line. Doubling round k gives
-each position the class of the 2^k lines that start there; a class is named by the first
-position that has it, so names are exact and ordered by first appearance, and positions
-whose run occurs once leave. Two suffixes share a prefix of m lines exactly when they have
-the same two classes of length 2^k, k = floor(log2 m), at its start and ending at its end:
-the suffixes with the same pair are the interval of the suffix array whose longest common
-prefix reaches m.
+Every line gets a global position, ascending by document and line. Doubling round k ranks
+the suffixes that start at the positions by their first 2^k lines: the pairs of ranks of the round
+before are sorted by ranges, and a pair's place is its rank, so ranks are the order of the suffix
+array to that depth. Suffixes whose run occurs once leave; the others' ranks are enough. Two suffixes
+have a longest common prefix of m lines or more exactly when they have
+the same two ranks of depth 2^k, k = floor(log2 m), at their start and ending at the m-th line: the suffixes
+with one such pair are an LCP interval of depth m.
 
 A repeated run counts from `min_words` words. For each line the shortest runs of that size
 that start and that end there are looked up; runs whose interval has an earlier member
 are deleted. The union of those runs is exactly the maximal repeated runs of that size or
 more, less their first copies.
 
-Lines are compared without white space at their ends. Null text counts as empty and gives
+Lines are compared without white space at their ends. A copy may overlap what it repeats: of "x x x" in
+one document the run "x x" stands twice, and all but its first copy goes. Null text counts as empty and gives
 an empty text; lines that only blank runs share have no words and stay. Rows that repeat
-both doc_id and text are one document and get the same result; null ids come last; an
-empty table gives no rows. Extra columns may be kept.
+both doc_id and text are one document and get the same result; null ids come last; a very long text is a long
+stretch of positions; an empty table gives no rows. Extra columns may be kept; columns named clean_text, n_lines or n_removed
+give way to the results.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, scratch_table, unpacked, whole_text
+from .common import forget, packed, scratch_table, unpacked, whole_text
 
 RESULTS = ("clean_text", "n_lines", "n_removed")
 BLANKS = " \t\n\v\f\r"
@@ -82,36 +86,45 @@ def positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     return scratch_table(lines, "lines")
 
 
-def _classes(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Keep rows whose `by` columns occur twice or more; `c` names the class by its first position."""
-    first = scratch_table(rows.groupBy(*by).agg(F.min("pos").alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"{name}-names")
-    return rows.join(first, by)
+def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Keep rows whose `by` columns occur twice or more, with `c`, the place of these among all in order, and `low`, the first position that has them."""
+    names = rows.groupBy(*by).agg(F.min("pos").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    names = scratch_table(names, f"{name}-names")
+    ranks = scratch_table(names.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("c", F.monotonically_increasing_id()), f"{name}-ranks")
+    out = scratch_table(rows.join(ranks, by), name)
+    forget(names, ranks)
+    return out
 
 
-def repeated_runs(lines: DataFrame) -> DataFrame:
-    """(k1, k2, i, m): the shortest runs of the wanted size that have an earlier copy."""
+def repeated_runs(lines: DataFrame) -> list[DataFrame]:
+    """(k1, k2, i, m): the shortest runs of the wanted size that have an earlier copy, in a scratch table for each depth."""
     ahead = lines.filter("ahead > 0").select("pos", "k1", "k2", "i", F.col("ahead").alias("m"))
     behind = lines.filter("behind > 0").select((F.col("pos") - F.col("behind") + 1).alias("pos"), "k1", "k2", (F.col("i") - F.col("behind") + 1).alias("i"), F.col("behind").alias("m"))
     runs = ahead.unionByName(behind.filter("m > 1"))
     most = runs.agg(F.max("m")).first()[0] or 0
-    classes = scratch_table(_classes(lines.select("pos", "left", "h"), ["h"], "c0").select("pos", "left", "c"), "classes-0")
-    found, k = None, 0
+    classes, found, k = _ranked(lines.select("pos", "left", "h"), ["h"], "ranks-0"), [], 0
     while True:
         size = 1 << k
         here = runs.filter(F.col("m").between(size, 2 * size - 1))
         a = here.join(classes.select("pos", F.col("c").alias("c1")), "pos")
         a = a.withColumn("tail", F.col("pos") + F.col("m") - size)
         a = a.join(classes.select(F.col("pos").alias("tail"), F.col("c").alias("c2")), "tail").select("pos", "k1", "k2", "i", "m", "c1", "c2")
-        later = scratch_table(_classes(scratch_table(a, f"runs-{k}"), ["m", "c1", "c2"], f"runs-{k}").filter("pos > c").select("k1", "k2", "i", "m"), f"later-{k}")
-        found = later if found is None else found.unionByName(later)
+        a = scratch_table(a, f"runs-{k}")
+        first = scratch_table(a.groupBy("m", "c1", "c2").agg(F.min("pos").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"intervals-{k}")
+        found.append(scratch_table(a.join(first, ["m", "c1", "c2"]).filter("pos > low").select("k1", "k2", "i", "m"), f"later-{k}"))
+        forget(a, first)
         if 2 * size > most:
-            return found
+            break
         left = classes.filter(F.col("left") >= 2 * size).select("pos", "left", F.col("c").alias("c1"), (F.col("pos") + size).alias("next"))
-        pairs = left.join(classes.select(F.col("pos").alias("next"), F.col("c").alias("c2")), "next").select("pos", "left", "c1", "c2")
-        classes = scratch_table(_classes(scratch_table(pairs, f"pairs-{k}"), ["c1", "c2"], f"c{k + 1}").select("pos", "left", "c"), f"classes-{k + 1}")
+        pairs = scratch_table(left.join(classes.select(F.col("pos").alias("next"), F.col("c").alias("c2")), "next").select("pos", "left", "c1", "c2"), f"pairs-{k}")
+        deeper = _ranked(pairs, ["c1", "c2"], f"ranks-{k + 1}")
+        forget(classes, pairs)
+        classes = deeper
         if classes.isEmpty():
-            return found
+            break
         k += 1
+    forget(classes)
+    return found
 
 
 def _without(batches):
@@ -134,8 +147,10 @@ def _without(batches):
 
 def remove_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns (all by default) with clean_text, n_lines and n_removed."""
-    runs = repeated_runs(positions(docs, doc_id, text, min_words))
-    cuts = scratch_table(runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "m")).alias("cuts")), "cuts")
+    lines = positions(docs, doc_id, text, min_words)
+    found = repeated_runs(lines)
+    cuts = scratch_table(functools.reduce(DataFrame.unionByName, found).groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "m")).alias("cuts")), "cuts")
+    forget(lines, *found)
     rows = docs.select(packed(docs, keep, *RESULTS), *_keyed(docs, doc_id, text)[1:], whole_text(text).alias("__whole"))
     # the cuts grow with the corpus: one plan at every size, not a broadcast while they are few
     joined = rows.join(cuts.hint("merge"), ["k1", "k2"], "left").select("__row", "__whole", "cuts")
