@@ -61,6 +61,19 @@ def test_stages_keep_columns_on_odd_rows(spark, sf, odd_docs, no_docs):
             assert out.count() <= docs.count()
 
 
+def test_stages_hand_clashing_columns_through(spark, sf, odd_docs):
+    from pyspark.sql import functions as F
+
+    names = ["score", "lang_pred", "leaks", "row", "k1", "k2", "sha", "key", "maybe", "g", "n", "node", "__whole", "keep_id", "map"]
+    docs = odd_docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for k, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, sf)
+        kept = out.collect()
+        assert kept and all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in kept for n in names), k
+    again = cp.encode(spark, odd_docs.withColumn("ids", F.lit("mine")).withColumn("n_tokens", F.lit(-1)), sf)
+    assert len(again.columns) == len(set(again.columns)) and again.filter("n_tokens < 0").count() == 0
+
+
 CONTRACT = {
     "op1_html_extract": "page_id url text n_chars",
     "op2_token_files": "doc_id start n_tokens ids_crc32",

@@ -7,8 +7,9 @@ neighbours and files the pairs that arise under their own ranks. A pair that a m
 always has a later rank (checked when the file is read), so one ascending sweep equals
 merging word by word.
 
-Input: any documents frame; null text counts as empty, an empty text has no ids. Rows
-are independent, so repeated rows and ids, ties and extra columns change nothing.
+Input: any documents frame; null text counts as empty, an empty text has no ids. A very long text is a buffer
+of its own. Rows are independent, so repeated rows and ids and ties change nothing; an empty table gives no rows.
+Extra columns may be kept; columns named ids or decoded give way to the results.
 """
 
 from __future__ import annotations

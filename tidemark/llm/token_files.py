@@ -13,8 +13,9 @@ null flag and the number of ids of each document. Both are zstandard frames. The
 offsets and lengths of both, block size, plane width, counts and a CRC-32 of the indexes.
 
 A task writes under a name of its own and renames when complete, so a lost executor or a
-second attempt leaves no half file. Memory is one block and the indexes. Ids of ties (equal
-doc_id) follow text order; null doc_ids come first; null text counts as empty; an empty
+second attempt leaves no half file. Memory is one block and the indexes. Rows of equal
+doc_id follow a hash of the text, then the text, and may be dealt over shards; null doc_ids come first; repeated
+rows are documents of their own; null text counts as empty; a very long text spans blocks; an empty
 table makes no shard. Extra columns are not read.
 """
 
@@ -204,7 +205,8 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 1, doc
     that pyarrow.fs opens (file, hdfs, s3, gs) and all executors share.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash splits many rows of one id over tasks
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def run(batches):
         from pyarrow import fs
