@@ -32,6 +32,40 @@ def test_baseline_is_exact_and_the_model_beats_it(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_equal_a_model_without_a_filter(spark, sf):
+    """Exact counts in dictionaries, rounded to the same levels; the filter's false levels are all that may differ."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: split(r.text) for r in docs.collect()}
+    train = {i for i in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    one, two = collections.Counter(), collections.Counter()
+    for i in train:
+        one.update(rows[i])
+        two.update(zip(["<s>", *rows[i]], rows[i]))
+    n, v = sum(one.values()), len(one)
+    level = lambda c: int(bloom_lm.quantise(np.array([c]))[0])
+    middle = lambda c, own: max(bloom_lm.MIDDLE[level(c)] - own, 0)
+
+    def parts(words, own):
+        for a, b in zip(["<s>", *words], words):
+            seen = middle(one[None] if a == "<s>" else one[a], own)
+            bigram = min(max(middle(two[a, b], own) - bloom_lm.DISCOUNT, 0) / seen, 1) if seen else 0.0
+            yield 0 if a == "<s>" else level(one[a]), bigram, (middle(one[b], own) + 1) / (n + v + 1)
+
+    table = collections.Counter()
+    for i in train:
+        for q, x, y in parts(rows[i], 1):
+            table[q, int(bloom_lm._ratio_bins(np.array([x]), np.array([y]))[0])] += 1
+    weights = bloom_lm.fit_weights(table)
+    got = {r.doc_id: r for r in bloom_lm.score(docs).collect()}
+    off = []
+    for i, words in rows.items():
+        want = sum(math.log10(weights[q] * x + (1 - weights[q]) * y) for q, x, y in parts(words, 0))
+        off.append(abs(got[i].score - want) / abs(want))
+        assert math.isclose(got[i].mean_score, got[i].score / len(words))
+    # a false level weighs most in a short text
+    assert sum(off) / len(off) < 0.02 and sorted(off)[int(0.95 * len(off))] < 0.05, (max(off), sum(off) / len(off))
+
+
 def test_places_in_many_rows_give_the_same(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).repartition(5).cache()
     key = lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 6))

@@ -8,8 +8,9 @@ each training token, and for each stored level at least, so false levels stay as
 size. It is cut into segments by key; a task holds one segment at a time: it builds it from
 the counts of all blocks of documents and answers the keys that the blocks ask for.
 
-The probability of a token interpolates its bigram estimate with an add-one unigram estimate
-over what was read from the filter. The weight depends on the level of the history and is
+The probability of a token interpolates its bigram estimate, less a discount of DISCOUNT a pair, with an add-one
+unigram estimate over what was read from the filter. Counts stand for the middle of their level, so probabilities
+add up to about one, with the discount rather to less. The weight depends on the level of the history and is
 fitted by expectation-maximisation over all training tokens, each scored as if its own
 occurrence had not been counted.
 
@@ -19,8 +20,9 @@ tokens or `BLOCK_TYPES` distinct ones, or one longer document), so no vocabulary
 collected and a frequent token costs one row a block.
 
 Null text counts as empty: one end token. Null ids count as the empty id in the split.
-Rows are independent given the counts: ties, repeated rows and extra columns need no care;
-an empty table gives no rows, and without training rows all counts are zero.
+Rows are independent given the counts: ties and repeated rows need no care; extra columns are not read, whatever
+their names; a very long text is a block of its own; an empty table gives no rows, and without training rows all
+counts are zero.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ ODD_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 END = " "
 BLOCK_TOKENS, BLOCK_TYPES = 2_000_000, 400_000
 PROBES = 3
+#: Taken off each pair's count: a pair seen once says less of its history than one seen twice.
+DISCOUNT = 0.5
 
 
 def levels(base: float = 1.4, most: int = 1 << 50) -> np.ndarray:
@@ -336,7 +340,7 @@ def estimates(now: np.ndarray, pair: np.ndarray, first: np.ndarray, start: int,
     seen = np.maximum(MIDDLE[history] - own, 0)
     # of what stands in no filter, the start of a text, bigrams are relative to the end tokens
     seen[first] = max(MIDDLE[start] - own, 0)
-    bigram = np.minimum(np.divide(np.maximum(MIDDLE[pair] - own, 0), seen, out=np.zeros(len(now)), where=seen > 0), 1.0)
+    bigram = np.minimum(np.divide(np.maximum(MIDDLE[pair] - own - DISCOUNT, 0), seen, out=np.zeros(len(now)), where=seen > 0), 1.0)
     return history, bigram, (np.maximum(MIDDLE[now] - own, 0) + 1) / (n + v + 1)
 
 
@@ -384,7 +388,10 @@ def _exact_counts(asked: DataFrame, blocks: int, bucket_blocks: int) -> DataFram
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, bucket_blocks: int = 2000, **filter_options) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from the rows whose fold isn't `held`."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score), learning from the rows whose fold isn't `held`.
+
+    `mean_score` is the score of a token, which texts of any length can be compared by.
+    """
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), trains_on(F.col(doc_id), folds, held).alias("train"), whole_text(text).alias("text"))
     table = scratch_table(rows.mapInArrow(_to_blocks, _BLOCK_ROW), "blocks")
     blocks = table.filter("ids IS NOT NULL").select(*_BLOCK)
@@ -453,4 +460,4 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                 yield pa.RecordBatch.from_pydict(scored)
 
     scored = read.mapInArrow(finish, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("mean_score", F.col("score") / F.col("n_tokens"))
