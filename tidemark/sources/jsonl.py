@@ -53,10 +53,13 @@ def validate(lines: DataFrame, sequence: Column) -> DataFrame:
     # true and false pass as 1 and 0; numbers lose their fraction; text follows the rules of its own
     at = F.when(k("timestamp") == "string", parse_text(variants.text(j("timestamp")))).otherwise(variants.whole(j("timestamp")))
     fresh = [strip(variants.text(j("entity"))).alias("__entity"), F.lower(strip(variants.text(j("type")))).alias("__type"), at.alias("__at"), variants.printed(F.col("raw"), "value", j("value")).alias("__printed")]
-    rows = rows.select("*", *fresh, F.when(k("attributes") == "object", j("attributes")).otherwise("{}").alias("__attributes"))
+    # a filter on `error` must not be pushed below these: it would parse the line anew for every field it names.
+    # Nothing passes a column that depends on the partition, and the error names it.
+    held = F.spark_partition_id().alias("__held")
+    rows = rows.select("*", *fresh, F.when(k("attributes") == "object", j("attributes")).otherwise("{}").alias("__attributes"), held)
     entity, type_, printed, attributes = (F.col(f"__{n}") for n in ("entity", "type", "printed", "attributes"))
     error = (
-        F.when(~F.col("__f.parsed"), "invalid JSON")
+        F.when(~F.col("__f.parsed") | (F.col("__held") < 0), "invalid JSON")
         .when(~F.col("__ok"), "event is not a JSON object")
         .when(F.coalesce(entity, F.lit("")) == "", "missing or empty field: entity")
         .when(k("timestamp").isin("absent", "null"), "missing field: timestamp")
