@@ -19,28 +19,18 @@ lang_pred or score give way to the results.
 
 from __future__ import annotations
 
-import functools
-import re
-import sys
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, packed, ragged_take, scratch_table, unpacked, worker_state
 
+LETTERS = regex.compile(r"\p{L}+")
 #: How many words a worker remembers.
-MEMORY = 200_000
-
-
-@functools.cache
-def letters() -> re.Pattern:
-    """Runs of letters: word characters but digits, underscores and the numerals that are neither digits nor letters."""
-    odd = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and unicodedata.category(c)[0] != "L"]
-    return re.compile(rf"[^\W\d_{''.join(odd)}]+")
+MEMORY = 100_000
 
 
 def item_hash(item: str) -> int:
@@ -90,7 +80,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: s
         by = np.lexsort((of, h))
         h, of, n = h[by], of[by], n[by]
         keys, starts = np.unique(h, return_index=True)
-        levels.append({"keys": keys, "starts": np.append(starts, len(h)).astype(np.int64), "lang": of, "above": (np.log10(n / total[of]) - floor[of]).astype(np.float32), "floor": floor})
+        levels.append({"keys": keys, "starts": np.append(starts, len(h)).astype(np.int64), "lang": of.astype(np.int32), "above": (np.log10(n / total[of]) - floor[of]).astype(np.float32), "floor": floor})
     forget(sizes, words, every)
     return Model(langs, levels)
 
@@ -115,7 +105,7 @@ class Scorer:
         # of each remembered word its level (or one past the last, if nothing is known) and what languages have above their floors
         self.level = np.zeros(0, np.int64)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.lang, self.above = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        self.lang, self.above = np.zeros(0, np.int32), np.zeros(0, np.float32)
 
     def _learn(self) -> None:
         words, many = self.new, len(self.model.langs)
@@ -155,11 +145,11 @@ class Scorer:
         starts = len(self.lang) + np.cumsum(sizes) - sizes
         self.level = np.concatenate((self.level, level))
         self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
-        self.lang, self.above = np.concatenate((self.lang, lang[by])), np.concatenate((self.above, above[by].astype(np.float32)))
+        self.lang, self.above = np.concatenate((self.lang, lang[by].astype(np.int32))), np.concatenate((self.above, above[by].astype(np.float32)))
         self.new.clear()
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, find = self.model.langs, letters().findall
+        langs, find = self.model.langs, LETTERS.findall
         if len(self.rows) > MEMORY:
             self.reset()
         row = self.rows.__getitem__
