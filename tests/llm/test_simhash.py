@@ -143,8 +143,8 @@ def test_long_lists_are_compared_whole(spark, monkeypatch):
     """Without fingerprints and leaders every pair of the long lists must still be found."""
     monkeypatch.setattr(similar, "_by_fingerprint", lambda nodes: similar.scratch_table(nodes.selectExpr("node a", "node b").limit(0), "near"))
     rows = near_rows()
-    assert groups_equal_brute_force(spark, [r[1] for r in rows], long_list=2, leader_rounds=0) > 0
-    assert groups_equal_brute_force(spark, [r[1] for r in rows], long_list=2, leader_rounds=1) > 0
+    assert groups_equal_brute_force(spark, [r[1] for r in rows], long_list=2, leaders=()) > 0
+    assert groups_equal_brute_force(spark, [r[1] for r in rows], long_list=2, leaders=(1, 2)) > 0
 
 
 def test_short_texts_and_mixed_sizes(spark):

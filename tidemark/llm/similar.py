@@ -15,8 +15,9 @@ guaranteed, so that no pair is passed over:
    these documents (prefix filter), pass the size and positional filters, and are verified.
 
 Lists of up to `long_list` members are paired off. In longer ones members are first held
-against a leader in a few rounds, which joins what is alike; then all pairs of different groups are compared, behind a
-lower bound of their difference from 2048-bit maps of their shingles. The limit sets the way, never the result.
+against a few leaders, more in each round, which joins what is alike; then all pairs that are still in different groups are
+compared, behind a lower bound of their difference from 2048-bit maps of their shingles. Limit and leaders set the
+way, never the result.
 
 Null text counts as empty; documents without words are one group. Rows that repeat doc_id and text
 leave one. Of a group the smallest doc_id stays, null ids last; ties of doc_id fall to a hash
@@ -26,20 +27,19 @@ whatever their names.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.window import Window
 
 from .common import forget, scratch_table, whole_text, window_codes, worker_state
 from .components import components
 from .simhash import links_within_two_bits, lower_words, majority
 
-MEMORY = 400_000
+MEMORY = 100_000
 #: Longs of a document's map of shingles.
 MAP_LONGS = 32
 #: Of a document's shingles this share is asked to occur elsewhere.
@@ -172,48 +172,29 @@ def _similar(least: float):
 
 
 class _Groups:
-    """The links found so far, and for each node a label: equal labels are surely one group.
-
-    Labels only save comparisons, so one step towards the smallest neighbour a time is enough for them; the groups
-    themselves are the components of all links.
-    """
+    """Nodes and the groups known so far; a group bears the name of its smallest node."""
 
     def __init__(self, nodes: DataFrame, similarity: float):
         self.nodes, self.similarity = nodes, similarity
-        self.table = scratch_table(nodes.select("node", F.col("node").alias("g")), "labels")
-        self.links: list[DataFrame] = []
+        self.table = scratch_table(nodes.select("node", F.col("node").alias("g")), "groups")
 
     def link(self, pairs: DataFrame) -> None:
-        """Verify pairs (a, b) of different labels (ga, gb), keep those that are similar and join their labels."""
+        """Verify pairs (a, b) of different groups (ga, gb) and join the groups of those that are similar."""
         pairs = scratch_table(pairs.select("a", "b", "ga", "gb").distinct(), "pairs")
         sets = self.nodes.select("node", "keys")
         full = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("sb")), "b")
         links = scratch_table(full.select("a", "b", "ga", "gb", "sa", "sb").mapInArrow(_similar(self.similarity), "a long, b long, ga long, gb long"), "links")
-        ways = links.select(F.col("ga").alias("g"), F.col("gb").alias("to")).unionByName(links.select(F.col("gb").alias("g"), F.col("ga").alias("to")))
-        low = ways.groupBy("g").agg(F.min("to").alias("to"))
-        now = scratch_table(self.table.join(low, "g", "left").select("node", F.least("g", "to").alias("g")), "labels")
-        forget(self.table, pairs)
-        self.table = now
-        self.links.append(links)
+        if not links.isEmpty():
+            joined = components(links, "ga", "gb")
+            now = scratch_table(self.table.join(joined.withColumnRenamed("node", "g"), "g", "left").select("node", F.coalesce("component", "g").alias("g")), "groups")
+            forget(self.table, joined)
+            self.table = now
+        forget(pairs, links)
 
     def of(self, members: DataFrame) -> DataFrame:
-        """`members` with their labels `g`."""
+        """`members` with their groups `g`."""
         return members.join(self.table, "node")
 
-    def paired(self, links: DataFrame) -> DataFrame:
-        """(a, b, ga, gb) of links between nodes of different labels."""
-        a = self.table.select(F.col("node").alias("a"), F.col("g").alias("ga"))
-        b = self.table.select(F.col("node").alias("b"), F.col("g").alias("gb"))
-        return links.join(a, "a").join(b, "b").filter("ga <> gb")
-
-    def groups(self) -> DataFrame:
-        """(node, g): the group of each node, named by its smallest node. A scratch table."""
-        linked = components(functools.reduce(DataFrame.unionByName, [t.select("a", "b") for t in self.links]))
-        out = self.nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("g"))
-        out = scratch_table(out, "groups")
-        forget(linked, self.table, *self.links)
-        return out
-
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes of one fingerprint with the smallest of them, and the smallest of fingerprints within two bits."""
@@ -248,31 +229,33 @@ def _side(of: DataFrame, x: str, *more: str) -> DataFrame:
     return of.select("key", *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "p", "g", *more)], F.col("node").alias(x))
 
 
-def _join_groups(nodes: DataFrame, similarity: float, long_list: int, leader_rounds: int) -> DataFrame:
+def _leaders(members: DataFrame, turn: int, most: int) -> DataFrame:
+    """Up to `most` members of each list. One order for all lists: lists that overlap share theirs, and few pairs are verified."""
+    place = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    return members.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most).drop("place")
+
+
+def _join_groups(nodes: DataFrame, similarity: float, long_list: int, leaders: tuple[int, ...]) -> DataFrame:
     """(node, g): the group of each node."""
     groups = _Groups(nodes, similarity)
     near = _by_fingerprint(nodes)
-    groups.link(groups.paired(near))
     members = _members(nodes, similarity)
-    forget(near)
     fits = _fits(similarity)
-    short = scratch_table(groups.of(members.filter(F.col("m") <= long_list)), "short")
-    met = _side(short, "a").join(_side(short, "b"), "key").filter(f"a < b AND ga <> gb AND {fits}")
-    groups.link(met)
-    forget(short)
+    alone = members.withColumn("g", F.col("node"))
+    short = alone.filter(F.col("m") <= long_list)
+    met = _side(short, "a").join(_side(short, "b"), "key").filter(f"a < b AND {fits}")
+    groups.link(met.select("a", "b", "ga", "gb").unionByName(near.select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb"))))
+    forget(near)
     long = members.filter(F.col("m") > long_list).select("key", "node", "n", "p")
-    for turn in range(leader_rounds + 1):
+    for turn, most in enumerate((*leaders, None)):
         # a list all in one group is done
         now = scratch_table(groups.of(long), "long")
         open_ = scratch_table(now.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key"), "open")
         if open_.isEmpty():
             forget(now, open_)
             break
-        if turn < leader_rounds:
-            # one order of leaders for all lists: lists that overlap share theirs, and few pairs are verified
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "p", "g")
-            lead = now.join(open_, "key").groupBy("key").agg(F.min(order).alias("l")).select("key", "l.*")
-            lead = scratch_table(lead, "leaders")
+        if most is not None:
+            lead = scratch_table(_leaders(now.join(open_, "key"), turn, most), "leaders")
             groups.link(_side(lead, "a").join(_side(now, "b"), "key").filter(f"ga <> gb AND {fits}"))
             forget(lead)
         else:
@@ -281,10 +264,10 @@ def _join_groups(nodes: DataFrame, similarity: float, long_list: int, leader_rou
             forget(mapped)
         forget(now, open_)
     forget(members)
-    return groups.groups()
+    return groups.table
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, long_list: int = 24, leader_rounds: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, long_list: int = 24, leaders: tuple[int, ...] = (1, 4, 16, 64)) -> DataFrame:
     """(k1, k2, doc_id, n, keeper): the distinct rows (doc_id, text) that may have a partner, how often each came and whether it stays for its group.
 
     A scratch table. Groups are connected components; rows that are not listed are alone.
@@ -296,7 +279,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     forget(partners)
     nodes = marked.groupBy("name").agg(*[F.first(c).alias(c) for c in ("size", "fp", "map", "keys")])
     nodes = scratch_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    groups = _join_groups(nodes, similarity, long_list, leader_rounds)
+    groups = _join_groups(nodes, similarity, long_list, leaders)
     named = scratch_table(nodes.select("name", "node").join(groups, "node").select("name", "g"), "named")
     placed = marked.select("doc_id", "k1", "k2", "name").join(named, "name").groupBy("doc_id", "k1", "k2", "g").agg(F.count("*").alias("n"))
     placed = scratch_table(placed, "placed")
