@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,12 +107,22 @@ _STATE: dict = {}
 def worker_state(key, make):
     """What a worker process remembers between tasks: one thing, so that a later operator's memory takes the place of an earlier one's."""
     if key not in _STATE:
-        _STATE.clear()
-        gc.collect()
+        forget_state()
         _STATE[key] = make()
     return _STATE[key]
 
 
+def forget_state() -> None:
+    """Give back what an earlier operator left in this worker; for steps that need no memory of their own."""
+    if _STATE:
+        _STATE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # freed small objects stay with the allocator otherwise
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser of splitmix64, elementwise on uint64."""
     with np.errstate(over="ignore"):

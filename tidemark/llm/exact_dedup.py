@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, forget, mix64, scratch_table, whole_text
+from .common import SPACES, forget, forget_state, mix64, scratch_table, whole_text
 
 PROBES = 4
 #: Hashes that are noted together.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 
 
 def text_sha256(text: str = "text") -> Column:
@@ -59,6 +59,7 @@ def _bits(keys: np.ndarray, segment_bits: int) -> np.ndarray:
 
 def _keys(batches, name: str = "key"):
     """The hashes of a partition, a chunk at a time."""
+    forget_state()
     waiting, n = [], 0
     for batch in batches:
         waiting.append(batch.column(name).to_numpy().view(np.uint64))
