@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..model import numeric, order_key
 
@@ -51,10 +52,12 @@ def profile(events: DataFrame, anomalies: DataFrame, most: int = 10) -> DataFram
     per_type = numeric(events).groupBy("entity", "type").agg(*summary_columns(), F.min(order_key()).alias("first"))
     maps = per_type.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("type", F.struct(*SUMMARY)))).alias("metrics"))
     shown = anomalies.join(per_type.select("entity", "type", "first"), ["entity", "type"])
-    shown = shown.groupBy("entity").agg(
-        F.count("*").alias("anomaly_count"),
-        F.slice(F.array_sort(F.collect_list(F.struct("first", order_key().alias("at"), "type", "event_id", "value_num", "z_score", "severity"))), 1, most).alias("a"),
-    )
+    shown = shown.select("entity", "first", order_key().alias("at"), "type", "event_id", "value_num", "z_score", "severity")
+    # of a busy entity only the first `most` are ever gathered
+    place = Window.partitionBy("entity").orderBy("first", "at", "type", "event_id")
+    few = shown.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
+    few = few.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("place", "at", "type", "event_id", "value_num", "z_score", "severity"))).alias("a"))
+    shown = shown.groupBy("entity").agg(F.count("*").alias("anomaly_count")).join(few, "entity")
     shown = shown.select("entity", "anomaly_count", F.transform("a", lambda x: F.struct(x["at"]["timestamp"].alias("timestamp"), x["type"].alias("type"), x["event_id"].alias("event_id"), x["value_num"].alias("value"), x["z_score"].alias("z_score"), x["severity"].alias("severity"))).alias("recent_anomalies"))
     out = profile_totals(events).join(maps, "entity", "left").join(shown, "entity", "left")
     return out.withColumn("anomaly_count", F.coalesce("anomaly_count", F.lit(0))).withColumn("total_anomalies_detected", F.least("anomaly_count", F.lit(most)))
