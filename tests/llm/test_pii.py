@@ -88,10 +88,10 @@ def test_added_spans_held_out(spark):
         ("phone", lambda: f"{rng.choice('679')}{d(2)} {d(3)} {d(3)} {d(3)}"),
         ("phone", lambda: f"0{rng.randrange(30, 999)} {d(3)} {d(4)}"),
         ("phone", lambda: f"0049 {rng.randrange(30, 99)} {d(7)}"),
-        ("email", lambda: f"user{d(3)} [at] mail{d(1)} [dot] org"),
+        ("email", lambda: f"user{d(3)} " + rng.choice([f"[at] mail{d(1)} [dot] org", f"at mail{d(1)} dot org"])),
         ("secret", lambda: f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"'),
     ]
-    decoys = [lambda: f"in {rng.randrange(1900, 2020)} some {d(2)} of them", lambda: f"at noon the {d(1)} dogs", lambda: f"page {d(3)} and chapter {d(1)}.{d(1)}", lambda: f"costs {d(3)}.{d(2)} or {d(2)},{d(3)}", lambda: "the token: a word", lambda: f"score {d(1)}-{d(1)} in {d(2)}:{d(2)}"]
+    decoys = [lambda: f"in {rng.randrange(1900, 2020)} some {d(2)} of them", lambda: f"at noon the {d(1)} dogs", lambda: "dogs at home. They sleep. All", lambda: f"page {d(3)} and chapter {d(1)}.{d(1)}", lambda: f"costs {d(3)}.{d(2)} or {d(2)},{d(3)}", lambda: "the token: a word", lambda: f"score {d(1)}-{d(1)} in {d(2)}:{d(2)}"]
     rows, want = [], {}
     for i in range(600):
         kind, make = shapes[i % len(shapes)]

@@ -40,11 +40,12 @@ STRICT = {
     "card": r"[0-9]{2,}+(?:[\x20-][0-9]++)*+|[0-9](?:[\x20-][0-9]++)++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_AT, _DOT = r"(?:\x20?(?:\(at\)|\[at\]|\{at\}|<at>)\x20?|\x20at\x20)", r"(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|<dot>)\x20?|\x20dot\x20)"
+_AT = r"\x20?(?:\(at\)|\[at\]|\{at\}|<at>)\x20?"
+_DOT = r"(?:\.|\x20dot\x20|\x20?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)\x20?)"
 _SECRET = "(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passwd|password|passwort|contraseña|mot\\x20de\\x20passe)"
 LOOSE = {
-    # a spelled "at" needs a spelled or written dot after it
-    "email": rf"(?<![{LOCAL}])[{LOCAL}]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
+    # a bare "at" is a common word, so its dots must be spelled as well
+    "email": rf"(?<![{LOCAL}])[{LOCAL}]++(?:{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++)",
     "card": r"(?<![0-9.+-])[0-9]{4}(?:[0-9]{9,15}|([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9.-])",
     # 00 and a country; North American; French; Spanish; German with a trunk zero and a gap
     "phone": r"(?<![0-9+.,-])(?:00[1-9][0-9]{0,2}[\x20./()-]{1,2}[0-9][0-9\x20./()-]{6,16}[0-9]"
