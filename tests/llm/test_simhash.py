@@ -3,7 +3,7 @@ import re
 
 import xxhash
 
-from tidemark.llm import components, similar, simhash
+from tidemark.llm import components, exact_dedup, similar, simhash
 
 
 def words(text):
@@ -167,3 +167,40 @@ def test_appended_and_replaced_blocks(spark):
         other = text + [word() for _ in range(72)] if i % 2 else text[:120] + [word() for _ in range(28)] + text[148:]
         texts += [" ".join(text), " ".join(other)]
     assert groups_equal_brute_force(spark, texts) == 200
+
+
+def test_texts_do_not_move_to_meet_keys(spark, monkeypatch):
+    """However long the lists of keys, only rows that they may name are shuffled with their texts."""
+    rows, plans, write = near_rows(), {}, similar.scratch_table
+    monkeypatch.setattr(similar, "scratch_table", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+        node = out._jdf.queryExecution().optimizedPlan()
+        while node.children().size() == 1:
+            node = node.children().apply(0)
+        assert "Exchange" not in plans["sets"]
+        assert node.nodeName() == "Union" and "Join" not in node.children().apply(0).toString()
+        kept = {r.doc_id for r in out.collect()}
+    finally:
+        spark.conf.set(key, before)
+    sets = {r[0]: set(shingles(r[1], 5)) for r in rows}
+    want = classes(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert kept == {n for n, c in want.items() if n == c}
+
+
+def test_drop_similar_with_filters_too_large_to_broadcast(spark, odd_docs):
+    assert groups_equal_brute_force(spark, [r[1] for r in near_rows()], broadcast_bytes=0) > 0
+    assert sorted(r.doc_id or -1 for r in similar.drop_similar(odd_docs, broadcast_bytes=0).collect()) == [-1, 1, 3, 7, 8]
+
+
+def test_member_filter(spark):
+    keys = [xxhash.xxh64_intdigest(str(i), 7) - (1 << 63) for i in range(30000)]
+    members = spark.createDataFrame([(k,) for k in keys[:20000]], "key long")
+    rows = spark.createDataFrame([(k,) for k in keys], "key long").repartition(3)
+    for options in ({}, {"broadcast_bytes": 0}):
+        found = {r.key for r in exact_dedup.MemberFilter(members, **options).flag(rows).filter("maybe").collect()}
+        assert found >= set(keys[:20000]) and len(found) < 20300
+    assert exact_dedup.MemberFilter(members.limit(0)).flag(rows).filter("maybe").count() == 0

@@ -90,8 +90,8 @@ def _notes(segments: int, segment_bits: int):
     return run
 
 
-def _merged(segment_bits: int):
-    """Streaming: the notes of a segment follow each other. Memory is one segment, twice."""
+def _merged(segment_bits: int, least: int = 2):
+    """Streaming: the notes of a segment follow each other; the bits that `least` rows have set, one or two. Memory is one segment, twice."""
 
     def run(batches):
         seg = once = twice = None
@@ -99,7 +99,7 @@ def _merged(segment_bits: int):
             for s, bits, again in zip(*(batch.column(c).to_pylist() for c in ("seg", "bits", "again"))):
                 if s != seg:
                     if seg is not None:
-                        yield _row(seg, twice)
+                        yield _row(seg, twice if least == 2 else once)
                     seg, once, twice = s, np.zeros(segment_bits // 8, np.uint8), np.zeros(segment_bits // 8, np.uint8)
                 at = np.frombuffer(bits, "<u4").astype(np.int64)
                 byte, mask = at >> 3, (1 << (at & 7)).astype(np.uint8)
@@ -107,7 +107,7 @@ def _merged(segment_bits: int):
                 np.bitwise_or.at(twice, byte[more], mask[more])
                 np.bitwise_or.at(once, byte, mask)
         if seg is not None:
-            yield _row(seg, twice)
+            yield _row(seg, twice if least == 2 else once)
 
     return run
 
@@ -159,14 +159,21 @@ def _asking(segments: int):
 class RepeatedFilter:
     """Tells which hashes may be repeated: exact for those it denies."""
 
+    #: Rows that a hash must come from.
+    LEAST = 2
+
     def __init__(self, rows: DataFrame, bits_per_row: int = 16, broadcast_bytes: int = 64 << 20):
         """Pass one, over the `key` of all rows."""
         segments, segment_bits = filter_shape(rows.count(), bits_per_row)
+        self.keys = self.test = None
+        large = segments * segment_bits // 8 > broadcast_bytes
+        if large and self.LEAST == 1:
+            self.keys = scratch_table(rows.select("key").distinct(), "listed")
+            return
         notes = rows.select("key").mapInArrow(_notes(segments, segment_bits), "seg long, bits binary, again binary")
         dealt = notes.repartition(min(segments, 2000), "seg").sortWithinPartitions("seg")
-        field = dealt.mapInArrow(_merged(segment_bits), "seg long, bits binary")
-        self.keys = self.maybe = None
-        if segments * segment_bits // 8 > broadcast_bytes:
+        field = dealt.mapInArrow(_merged(segment_bits, self.LEAST), "seg long, bits binary")
+        if large:
             field = scratch_table(field, "filter")
             asking = rows.select("key").mapInArrow(_asking(segments), "seg long, key long")
             both = asking.unionByName(field, allowMissingColumns=True).repartition(min(segments, 2000), "seg").sortWithinPartitions("seg", F.col("bits").isNull())
@@ -178,12 +185,15 @@ class RepeatedFilter:
             table[r["seg"]] = np.frombuffer(r["bits"], np.uint8)
         shared = rows.sparkSession.sparkContext.broadcast(table.tobytes())
 
+        def test(keys: np.ndarray) -> np.ndarray:
+            return _set(np.frombuffer(shared.value, np.uint8), _segment(keys, segments) * segment_bits + _bits(keys, segment_bits))
+
         @F.pandas_udf("boolean")
         def maybe(key: pd.Series) -> pd.Series:
-            keys = key.to_numpy().view(np.uint64)
-            return pd.Series(_set(np.frombuffer(shared.value, np.uint8), _segment(keys, segments) * segment_bits + _bits(keys, segment_bits)))
+            return pd.Series(test(key.to_numpy().view(np.uint64)))
 
-        self.maybe = maybe
+        #: For steps in Python: whether each of some unsigned hashes may be one; None where the filter is not broadcast.
+        self.test, self.maybe = test, maybe
 
     def flag(self, rows: DataFrame) -> DataFrame:
         """Pass two: `maybe` for each row by its `key`."""
@@ -192,6 +202,12 @@ class RepeatedFilter:
         return rows.join(self.keys.withColumn("__in", F.lit(True)), "key", "left").withColumn("maybe", F.col("__in").isNotNull()).drop("__in")
 
 
+class MemberFilter(RepeatedFilter):
+    """Tells which hashes may be among the `key` of the rows it was made of: exact for those it denies."""
+
+    LEAST = 1
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_no, doc_id, sha, key), one row per input row, kept as a scratch table so that row_no is stable."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_sha256(text).alias("sha")).withColumn("key", sha_key())

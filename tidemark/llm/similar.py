@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 
 from .common import forget, scratch_table, whole_text, window_codes, worker_state
 from .components import components
+from .exact_dedup import MemberFilter
 from .simhash import links_within_two_bits, lower_words, majority
 
 MEMORY = 100_000
@@ -100,10 +101,14 @@ def _firsts(width: int, similarity: float):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, going=None):
+    """The sets of the rows whose k1 passes `going`."""
+
     def run(batches):
         hashes = worker_state("shingle words", _WordHashes)
         for batch in batches:
+            if going:
+                batch = batch.filter(pa.array(going(batch.column("k1").to_numpy().view(np.uint64)), pa.bool_()))
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = [shingle_set(t, width, hashes) for t in part.column("__whole").to_pylist()]
@@ -267,18 +272,33 @@ def _join_groups(nodes: DataFrame, similarity: float, long_list: int, leaders: t
     return groups.table
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, long_list: int = 24, leaders: tuple[int, ...] = (1, 4, 16, 64)) -> DataFrame:
+def _listed(keys: DataFrame, **filter_options) -> MemberFilter:
+    """Tells the k1 of rows that may be among `keys`. Texts do not move while it can be broadcast."""
+    return MemberFilter(keys.select(F.col("k1").alias("key")), **filter_options)
+
+
+def _flag(found: MemberFilter, rows: DataFrame) -> DataFrame:
+    return found.flag(rows.withColumn("key", F.col("k1"))).drop("key")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, long_list: int = 24, leaders: tuple[int, ...] = (1, 4, 16, 64), **filter_options) -> DataFrame:
     """(k1, k2, doc_id, n, keeper): the distinct rows (doc_id, text) that may have a partner, how often each came and whether it stays for its group.
 
-    A scratch table. Groups are connected components; rows that are not listed are alone.
+    A scratch table. Groups are connected components; rows that are not listed are alone. A few rows without
+    a partner are listed as well, as the filter lets them through; they are compared like the others.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(doc_id, text), whole_text(text).alias("__whole"))
     partners = with_partners(rows, width, similarity)
     schema = rows.drop("__whole").schema.add("name", "binary").add("size", "long").add("fp", "binary").add("map", ArrayType(LongType())).add("keys", ArrayType(LongType()))
-    marked = scratch_table(rows.join(partners, ["k1", "k2"]).select("doc_id", "k1", "k2", "__whole").mapInArrow(_sets(width), schema), "sets")
+    found = _listed(partners, **filter_options)
+    going = rows if found.test else _flag(found, rows).filter("maybe")
+    whole = scratch_table(going.select("doc_id", "k1", "k2", "__whole").mapInArrow(_sets(width, found.test), schema), "sets")
     forget(partners)
-    nodes = marked.groupBy("name").agg(*[F.first(c).alias(c) for c in ("size", "fp", "map", "keys")])
+    nodes = whole.groupBy("name").agg(*[F.first(c).alias(c) for c in ("size", "fp", "map", "keys")])
     nodes = scratch_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # from here on the nodes alone hold the sets
+    marked = scratch_table(whole.select("doc_id", "k1", "k2", "name"), "marked")
+    forget(whole)
     groups = _join_groups(nodes, similarity, long_list, leaders)
     named = scratch_table(nodes.select("name", "node").join(groups, "node").select("name", "g"), "named")
     placed = marked.select("doc_id", "k1", "k2", "name").join(named, "name").groupBy("doc_id", "k1", "k2", "g").agg(F.count("*").alias("n"))
@@ -294,9 +314,13 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The input rows with one document of each group, all columns as they came. Rows that repeat both doc_id and text leave one."""
     placed = similar_groups(docs, doc_id, text, **options)
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_keys(doc_id, text))
-    out = rows.join(placed.filter("NOT keeper OR n > 1").select("k1", "k2"), ["k1", "k2"], "left_anti").select("row")
+    leave = placed.filter("NOT keeper OR n > 1").select("k1", "k2")
+    filter_options = {k: options[k] for k in ("bits_per_row", "broadcast_bytes") if k in options}
+    rows = _flag(_listed(leave, **filter_options), docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_keys(doc_id, text)))
+    # only rows that the filter lists are shuffled
+    some = rows.filter("maybe")
+    out = rows.filter("NOT maybe").select("row").unionByName(some.join(leave, ["k1", "k2"], "left_anti").select("row"))
     often = placed.filter("keeper AND n > 1").select("k1", "k2")
     if not often.isEmpty():
-        out = out.unionByName(rows.join(often, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row"))
+        out = out.unionByName(some.join(often, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row"))
     return out.select("row.*")
