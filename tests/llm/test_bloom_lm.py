@@ -118,3 +118,70 @@ def test_false_levels_stay_rare_as_the_corpus_grows(spark):
 def test_scores_have_no_ceiling_on_the_filter():
     sizes = [n * bits // 8 for n, bits in (bloom_lm.filter_shape(t) for t in (10**8, 5 * 10**9))]
     assert sizes[0] >= 10**8 * 10 // 8 and sizes[1] >= 5 * 10**9 * 10 // 8
+
+
+def block_of(n_docs=2000, size=500, types=200_000):
+    rng = np.random.default_rng(4)
+    words = [str(i) for i in range(types)]
+    rows = [(str(d), d % 7 != 2, " ".join([words[i] for i in np.minimum(rng.pareto(0.7, size) * 20, types - 1).astype(int)])) for d in range(n_docs)]
+    return rows
+
+
+def test_a_block_is_read_in_little_memory(monkeypatch):
+    """Two workers stand beside the JVM of an executor: 45 bytes a token, the distinct pairs included (62 with whole-block temporaries)."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    ids, train, texts = zip(*block_of())
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "train": train, "text": texts})
+    first = next(b for b in bloom_lm._to_blocks([batch]) if b.column("ids").null_count == 0)
+    n = sum(first.column("sizes")[0].as_py())
+    assert n == 2000 * 501
+    tracemalloc.start()
+    try:
+        packets = next(bloom_lm._packets(50)([first.select(bloom_lm._BLOCK)]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 45 * n, peak / n
+    # the keys and counts of all packets, against dictionaries
+    unzip = bloom_lm.zstandard.ZstdDecompressor()
+    keys = np.concatenate([bloom_lm._packet_keys(k.as_py(), unzip) for k in packets.column("keys")])
+    counts = np.concatenate([bloom_lm._packet_counts(c.as_py(), unzip) for c in packets.column("counts")])
+    assert (keys[1:] > keys[:-1]).all()
+    segs = np.repeat(packets.column("seg").to_numpy(), packets.column("n").to_numpy())
+    assert (bloom_lm._slots(keys, 1, 0, 50, 8)[0] == segs).all()
+    one, two = collections.Counter(), collections.Counter()
+    for i, trains, text in zip(ids, train, texts):
+        words = split(text)
+        one.update({w: 0 for w in words})
+        two.update({p: 0 for p in zip(["<s>", *words], words)})
+        if trains:
+            one.update(words)
+            two.update(zip(["<s>", *words], words))
+    assert sorted(counts.tolist()) == sorted([*one.values(), *two.values()])
+
+
+def test_stretches_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    now, pair = rng.integers(0, 60, 1000).astype(np.uint8), rng.integers(0, 60, 1000).astype(np.uint8)
+    first = np.unique(np.append(0, rng.integers(0, 1000, 30)))
+    hashes, ids = rng.integers(0, 2**63, 90, dtype=np.uint64), rng.integers(0, 90, 1000).astype(np.uint32)
+
+    def all_of():
+        found = [x[1:] for x in bloom_lm.estimates(now, pair, first, 5, 1000, 90, own=1)]
+        return [*map(np.concatenate, zip(*found)), bloom_lm.pair_keys(hashes, ids, first)]
+
+    whole = all_of()
+    monkeypatch.setattr(bloom_lm, "STRETCH", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, all_of()))
+    values, back = bloom_lm.distinct(whole[-1])
+    want, at = np.unique(whole[-1], return_inverse=True)
+    assert np.array_equal(values, want) and np.array_equal(back, at)

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, forget, mix64, scratch_table, whole_text
+from .common import LOWER_AZ, forget, mix64, release_memory, scratch_table, whole_text
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -77,13 +77,39 @@ def token_hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 42)
 
 
-def pair_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A key for each token with the one before it; where `first` is set, the start of a text stands before."""
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[first] = np.uint64(0x5EED)
+#: Steps over all tokens of a block go by stretches of so many, so that their temporaries stay small.
+STRETCH = 1 << 17
+
+
+def stretches(n: int):
+    for lo in range(0, n, STRETCH):
+        yield slice(lo, min(lo + STRETCH, n))
+
+
+def pair_keys(hashes: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A key for each token (an index into `hashes`) with the one before it; at the places `first` the start of a text stands before."""
+    out = np.empty(len(ids), np.uint64)
     with np.errstate(over="ignore"):
-        return mix64(mix64(before, 1) * np.uint64(3) + h, 2)
+        before = mix64(np.append(hashes, np.uint64(0x5EED)), 1) * np.uint64(3)
+        out[1:] = before[ids[:-1]]
+        out[first] = before[-1]
+        for at in stretches(len(ids)):
+            out[at] = mix64(out[at] + hashes[ids[at]], 2)
+    return out
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, which is 32 bits wide, in a third of its memory."""
+    by = np.argsort(values)
+    ordered = values[by]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    ordered = ordered[new]
+    rank = np.cumsum(new, dtype=np.uint32)
+    rank -= np.uint32(1)
+    back = np.empty(len(values), np.uint32)
+    back[by] = rank
+    return ordered, back
 
 
 # ---- the filter -----------------------------------------------------------------------
@@ -96,6 +122,12 @@ def _slots(keys: np.ndarray, level: int, probe: int, segments: int, segment_bits
     return seg.astype(np.int64), bit.astype(np.int64)
 
 
+def _cuts(keys: np.ndarray, segments: int) -> list[int]:
+    """Where each segment begins among ascending keys, and where the last one ends."""
+    least = np.array([-(-(s << 32) // segments) << 32 for s in range(segments)], np.uint64)
+    return [*np.searchsorted(keys, least).tolist(), len(keys)]
+
+
 class CountFilter:
     """Reads quantised counts back from the filter's bytes."""
 
@@ -132,9 +164,9 @@ def _packets(segments: int):
                 keys, by, back = block.keys()
                 mask = block.training()
                 counts = np.concatenate((np.bincount(block.ids[mask], minlength=len(block.hashes)), np.bincount(back[mask], minlength=len(keys) - len(block.hashes))))
+                del back
                 keys, counts = keys[by], counts[by]
-                seg, _ = _slots(keys, 1, 0, segments, 8)
-                cuts = np.searchsorted(seg, np.arange(segments + 1))
+                cuts = _cuts(keys, segments)
                 out = []
                 for s in range(segments):
                     lo, hi = cuts[s], cuts[s + 1]
@@ -142,6 +174,8 @@ def _packets(segments: int):
                         gaps = np.diff(keys[lo:hi], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
                         out.append((s, int(hi - lo), zip_.compress(np.ascontiguousarray(gaps).tobytes()), zip_.compress(np.minimum(counts[lo:hi], 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())))
                 s, m, k, c = zip(*out)
+                del block, by, mask, keys, counts, gaps, out
+                release_memory()
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(s), pa.int64()), pa.array(s, pa.int64()), pa.array(m, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["block", "seg", "n", "keys", "counts"])
 
     return run
@@ -283,7 +317,7 @@ def _to_blocks(batches):
         n = np.bincount(ids[np.repeat(train, sizes)], minlength=len(index))
         words, size = list(index), len(index)
         hashes = np.fromiter(map(token_hash, words), np.uint64, size)
-        packed = zip_.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+        packed = zip_.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes())
         one = [[block], [[d[0] for d in docs]], [train.tolist()], [sizes.tolist()], [packed], [hashes.astype("<u8").tobytes()]]
         yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(one, _KINDS)], *[pa.nulls(1, k) for k in _KINDS[6:]]], names=names)
         tokens = [pa.array(words, pa.string()), pa.array(np.arange(size), pa.int32()), pa.array(n, pa.int64())]
@@ -296,10 +330,15 @@ def _to_blocks(batches):
                 yield from flush()
                 block, docs, total = block + 1, [], 0
                 index.clear()
-            docs.append((doc_id, train, np.fromiter(map(index.__getitem__, words), np.int64, len(words))))
+                release_memory()
+            docs.append((doc_id, train, np.fromiter(map(index.__getitem__, words), "<u4", len(words))))
             total += len(words)
     if docs:
         yield from flush()
+        docs.clear()
+        index.clear()
+    # a worker keeps what it does not give back, beside the memory of the steps that follow
+    release_memory()
 
 
 class Block:
@@ -307,7 +346,7 @@ class Block:
 
     def __init__(self, row: dict, unzip):
         raw = np.frombuffer(unzip.decompress(row["ids"]), np.uint8).reshape(4, -1)
-        self.ids = np.ascontiguousarray(raw.T).view("<u4").reshape(-1).astype(np.int64)
+        self.ids = np.ascontiguousarray(raw.T).view("<u4").reshape(-1)
         self.hashes = np.frombuffer(row["hashes"], "<u8").astype(np.uint64)
         self.sizes, self.train, self.doc_ids = np.array(row["sizes"]), np.array(row["train"], bool), row["doc_ids"]
         self.first = np.cumsum(np.concatenate(([0], self.sizes[:-1])))
@@ -318,7 +357,7 @@ class Block:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the tokens, then of the distinct pairs; their ascending order; the pair of each place."""
-        pairs, back = np.unique(pair_keys(self.hashes[self.ids], self.first), return_inverse=True)
+        pairs, back = distinct(pair_keys(self.hashes, self.ids, self.first))
         keys = np.concatenate((mix64(self.hashes, 5), pairs))
         return keys, np.argsort(keys), back
 
@@ -333,15 +372,17 @@ class Block:
 
 
 def estimates(now: np.ndarray, pair: np.ndarray, first: np.ndarray, start: int, n: int, v: int, own: int = 0):
-    """History level, bigram estimate and unigram estimate of each token from the levels; `own` occurrences are taken off."""
-    history = np.zeros(len(now), np.int64)
+    """Place, history level, bigram estimate and unigram estimate of the tokens of each stretch from the levels; `own` occurrences are taken off."""
+    history = np.zeros(len(now), np.uint8)
     history[1:] = now[:-1]
     history[first] = 0
-    seen = np.maximum(MIDDLE[history] - own, 0)
     # of what stands in no filter, the start of a text, bigrams are relative to the end tokens
-    seen[first] = max(MIDDLE[start] - own, 0)
-    bigram = np.minimum(np.divide(np.maximum(MIDDLE[pair] - own - DISCOUNT, 0), seen, out=np.zeros(len(now)), where=seen > 0), 1.0)
-    return history, bigram, (np.maximum(MIDDLE[now] - own, 0) + 1) / (n + v + 1)
+    relative = history.copy()
+    relative[first] = start
+    for at in stretches(len(now)):
+        seen = np.maximum(MIDDLE[relative[at]] - own, 0)
+        bigram = np.minimum(np.divide(np.maximum(MIDDLE[pair[at]] - own - DISCOUNT, 0), seen, out=np.zeros(len(seen)), where=seen > 0), 1.0)
+        yield at, history[at], bigram, (np.maximum(MIDDLE[now[at]] - own, 0) + 1) / (n + v + 1)
 
 
 _BINS = 40
@@ -410,8 +451,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         mask, bins, times = block.training(), [], []
         if mask.any():
             sizes = block.sizes[block.train]
-            history, bigram, unigram = estimates(now[mask], pair[mask], np.cumsum(sizes) - sizes, start, n, v, own=1)
-            bins, times = np.unique(history * (_BINS + 1) + _ratio_bins(bigram, unigram), return_counts=True)
+            tally = np.zeros((len(LEVELS) + 1) * (_BINS + 1), np.int64)
+            for _, history, bigram, unigram in estimates(now[mask], pair[mask], np.cumsum(sizes) - sizes, start, n, v, own=1):
+                tally += np.bincount(history.astype(np.int64) * (_BINS + 1) + _ratio_bins(bigram, unigram), minlength=len(tally))
+            bins = np.flatnonzero(tally)
+            times = tally[bins]
         exact = np.zeros(len(block.hashes), np.int64)
         exact[b.column("idx").to_numpy()] = b.column("c").to_numpy()
         base = np.log10((exact + 1) / (n + (v + 1)))[block.ids]
@@ -420,14 +464,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             "doc_ids": block.doc_ids,
             "train": block.train.tolist(),
             "sizes": block.sizes.tolist(),
-            "known": np.add.reduceat((exact[block.ids] > 0).astype(np.int64), block.first).tolist(),
-            "base": [math.fsum(base[lo:hi]) for lo, hi in zip(block.first.tolist(), ends.tolist())],
+            "known": np.add.reduceat((exact > 0)[block.ids], block.first, dtype=np.int64).tolist(),
+            "base": [math.fsum(base[lo:hi].tolist()) for lo, hi in zip(block.first.tolist(), ends.tolist())],
             "start": start,
             "now": zstandard.ZstdCompressor(level=1).compress(now.tobytes()),
             "pair": zstandard.ZstdCompressor(level=1).compress(pair.tobytes()),
             "bins": np.asarray(bins, np.int64).tolist(),
             "times": np.asarray(times, np.int64).tolist(),
         }
+        del block, now, pair, mask, exact, base
+        release_memory()
         return pa.table({k: pa.array([x], t) for (k, x), t in zip(row.items(), _READ_KINDS)})
 
     replies = counts.select("c", F.explode("at").alias("a")).select(F.col("a.block").alias("block"), F.col("a.idx").alias("idx"), "c")
@@ -445,9 +491,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                 sizes = np.array(row["sizes"])
                 first = np.cumsum(sizes) - sizes
                 now, pair = (np.frombuffer(unzip.decompress(row[k]), np.uint8) for k in ("now", "pair"))
-                history, bigram, unigram = estimates(now, pair, first, row["start"], n, v)
-                w = weights[history]
-                logs = np.log10(w * bigram + (1 - w) * unigram)
+                logs = np.empty(len(now))
+                for at, history, bigram, unigram in estimates(now, pair, first, row["start"], n, v):
+                    w = weights[history]
+                    logs[at] = np.log10(w * bigram + (1 - w) * unigram)
                 scored = {
                     "doc_id": pa.array(row["doc_ids"], pa.string()),
                     "held_out": pa.array([not t for t in row["train"]]),

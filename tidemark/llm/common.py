@@ -112,15 +112,19 @@ def worker_state(key, make):
     return _STATE[key]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: it stays with the allocators of a worker otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def forget_state() -> None:
     """Give back what an earlier operator left in this worker; for steps that need no memory of their own."""
     if _STATE:
         _STATE.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        # freed small objects stay with the allocator otherwise
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        release_memory()
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
