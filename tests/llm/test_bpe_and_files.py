@@ -99,3 +99,36 @@ def test_files_match_the_library(spark, odd_docs, no_docs, library):
         start += len(ids)
     none = token_files.write_token_files(no_docs, scratch_path(spark, "t"), PATH)
     assert none.shards == () and token_files.read_token_files(spark, none).count() == 0
+
+
+def test_pieces_are_learned_and_looked_up_together(library, monkeypatch):
+    """Calls count where time does: fifteen for a new piece when each was split and stored alone, and its ids put together by text."""
+    import sys
+
+    from tidemark.llm import words
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefgh'1é.", k=7)) for _ in range(20)) for _ in range(500)]
+    worker = token_files.PieceIds(library, token_files.library_words(library))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got, _ = worker.encode(texts)
+    finally:
+        sys.setprofile(None)
+    new = len(worker.rows)
+    assert new > 9000 and calls < 9 * new, calls / new
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    # plain and odd pieces in one go, and again from memory, some texts at a time
+    mixed = [t for pair in zip(HARD * 30, random_texts(len(HARD) * 30), strict=True) for t in pair]
+    want = [library.encode(t, add_special_tokens=False).ids for t in mixed]
+    for size in (1 << 16, 5):
+        monkeypatch.setattr(words, "TAKE_PIECES", size)
+        worker.reset()
+        assert all([g.tolist() for g in worker.encode(mixed)[0]] == want for _ in range(2))
+    assert worker.encode([])[0] == []

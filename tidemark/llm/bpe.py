@@ -64,7 +64,8 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.order[at], -1)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of each word."""
         raw = [w.encode("utf-8", "surrogateescape") for w in words]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         # one gap in front of each word and one behind all
@@ -123,7 +124,7 @@ class MergeTable:
         live = sym >= 0
         ids = sym[live].astype(np.uint32)
         cut = np.concatenate(([0], np.cumsum(live)))
-        return [ids[lo:hi] for lo, hi in zip(cut[begins].tolist(), cut[ends + 1].tolist())]
+        return ids, cut[ends + 1] - cut[begins]
 
 
 def _left_to_right(at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

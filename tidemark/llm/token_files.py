@@ -186,14 +186,13 @@ def library_words(tokenizer):
     ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
     letters = byte_letters()
 
-    def encode(words: list[str]) -> list[np.ndarray]:
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         spelled = [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode("utf-8", "surrogateescape")]) for w in words]
         ids = np.array(plain.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(ends[ids]) + 1
         if len(cuts) != len(words):
             raise ValueError("the tokenizer's words do not end where expected")
-        bounds = [0, *cuts.tolist()]
-        return [ids[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+        return ids, np.diff(cuts, prepend=0)
 
     return encode
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import accumulate, chain
 
 import numpy as np
 import regex
@@ -17,12 +18,17 @@ from .common import ragged_take
 
 # Fixed values of the tokenizer file: its word pattern and its two special tokens.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: No piece holds a space, so many pieces are split in one call with a space between them.
+GAP = " "
+WORD_OR_GAP = regex.compile(f"{WORD.pattern}|{GAP}")
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: str.split() also splits at these, which the pattern takes for symbols.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[\x20\x09-\x0d]+")
 #: Below this code point NFC changes nothing and lower-casing is letter by letter.
 LATIN_END = "ɐ"
+#: Ids are looked up for texts of about so many pieces at once.
+TAKE_PIECES = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -38,10 +44,22 @@ def pieces_of(text: str) -> list[str]:
     return text.split()
 
 
+class Numbers(dict):
+    """Numbers strings as they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key):
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class PieceIds:
     """Ids of pieces, kept up to `limit` pieces per worker.
 
-    `encode_words` maps a list of distinct words to their id lists; `tokenizer` is the
+    `encode_words` maps a list of distinct words to all their ids in a row and the number of each; `tokenizer` is the
     library's object, asked for normalisation and splitting outside plain Latin.
     """
 
@@ -51,25 +69,19 @@ class PieceIds:
         self.reset()
 
     def reset(self) -> None:
-        self.new: list[str] = []
-        new = self.new
-
-        class Rows(dict):
-            def __missing__(self, piece):
-                new.append(piece)
-                self[piece] = row = len(self)
-                return row
-
-        self.rows = Rows()
-        self.words: dict[str, np.ndarray] = {}
+        self.rows, self.words = Numbers(), Numbers()
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.texts: list[bytes] = []
+        # a gap has no ids; special tokens are words named by their id
+        for key in (GAP, *self.specials.values()):
+            self.words[key] = len(self.words)
+        self.word_lengths = np.array([0] + [1] * len(self.specials), np.int64)
+        self.word_starts = np.cumsum(self.word_lengths) - self.word_lengths
+        self.word_flat = np.array([*self.specials.values()], np.uint32)
 
     def _split(self, piece: str) -> list:
-        """Words as strings, special tokens as ids."""
-        if max(piece) < LATIN_END and "<|" not in piece:
-            return WORD.findall(piece.lower())
+        """Words as strings, special tokens as ids; of a piece that isn't plain."""
         out: list = []
         for part in SPECIAL.split(piece):
             if part in self.specials:
@@ -86,25 +98,35 @@ class PieceIds:
 
     def _learn(self) -> None:
         """Encode the pieces met since the last call."""
-        split = [self._split(p) for p in self.new]
-        unseen = list({w for ws in split for w in ws if w.__class__ is str and w not in self.words})
-        if unseen:
-            self.words.update(zip(unseen, self.encode_words(unseen)))
-        get = self.words.__getitem__
-        arrays = [[get(w) if w.__class__ is str else np.array([w], np.uint32) for w in ws] for ws in split]
-        parts = [a for ws in arrays for a in ws]
-        lengths = np.fromiter((sum(map(len, ws)) for ws in arrays), np.int64, len(arrays))
-        base = len(self.flat)
-        added = np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
-        begins = base + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        new = self.rows.new
+        odd = [k for k, p in enumerate(new) if "<|" in p or not (p.isascii() or max(p) < LATIN_END)]
+        splits = [self._split(new[k]) for k in odd]
+        for k in odd:
+            new[k] = ""
+        # the plain pieces, empty ones in the place of odd ones, then the odd ones
+        found = WORD_OR_GAP.findall(GAP.join(new).lower())
+        for words in splits:
+            found.append(GAP)
+            found += words
+        codes = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        del found
+        if self.words.new:
+            ids, lengths = self.encode_words(self.words.new)
+            self.word_starts = np.concatenate((self.word_starts, len(self.word_flat) + np.cumsum(lengths) - lengths))
+            self.word_lengths = np.concatenate((self.word_lengths, lengths))
+            self.word_flat = np.concatenate((self.word_flat, ids))
+            self.words.new.clear()
+        added = ragged_take(self.word_starts, self.word_lengths, self.word_flat, codes)
+        bounds = np.concatenate(([0], np.cumsum(self.word_lengths[codes])[codes == self.words[GAP]], [len(added)]))
+        begins, lengths = bounds[:-1].copy(), np.diff(bounds)
+        begins[odd], lengths[odd] = begins[len(new) :], lengths[len(new) :]
+        begins, lengths = begins[: len(new)], lengths[: len(new)]
         if self.decoded is not None:
-            spell, at = self.decoded, 0
-            for n in lengths.tolist():
-                self.texts.append(b" ".join([spell[i] for i in added[at : at + n].tolist()]))
-                at += n
+            spell, listed = self.decoded.__getitem__, added.tolist()
+            self.texts += [b" ".join(map(spell, listed[lo : lo + n])) for lo, n in zip(begins.tolist(), lengths.tolist())]
+        self.starts, self.lengths = np.concatenate((self.starts, len(self.flat) + begins)), np.concatenate((self.lengths, lengths))
         self.flat = np.concatenate((self.flat, added))
-        self.starts, self.lengths = np.concatenate((self.starts, begins)), np.concatenate((self.lengths, lengths))
-        self.new.clear()
+        new.clear()
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
         """The ids of each text, and the rows of its pieces (for `spell`)."""
@@ -112,9 +134,25 @@ class PieceIds:
             self.reset()
         row = self.rows.__getitem__
         rows = [list(map(row, pieces_of(t))) for t in texts]
-        if self.new:
+        if self.rows.new:
             self._learn()
-        return [ragged_take(self.starts, self.lengths, self.flat, np.array(r, np.int64)) for r in rows], rows
+        ids, lo = [], 0
+        while lo < len(rows):
+            hi, taken = lo, 0
+            while hi < len(rows) and taken < TAKE_PIECES:
+                taken += len(rows[hi])
+                hi += 1
+            ids += self._take(rows[lo:hi], taken)
+            lo = hi
+        return ids, rows
+
+    def _take(self, rows: list[list[int]], n: int) -> list[np.ndarray]:
+        """The ids of a few texts, looked up together."""
+        every = np.fromiter(chain.from_iterable(rows), np.int64, n)
+        ids = ragged_take(self.starts, self.lengths, self.flat, every)
+        ends = np.concatenate(([0], np.cumsum(self.lengths[every])))
+        bounds = ends[[0, *accumulate(map(len, rows))]].tolist()
+        return [ids[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
 
     def spell(self, rows: list[int]) -> bytes:
         """The decoded text of pieces, as UTF-8."""
