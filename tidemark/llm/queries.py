@@ -54,9 +54,11 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_secret and n_found (spans of all kinds) follow the fixed columns; `spans` holds the four listed kinds."""
     found = pii.detect(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(pii.BASE_KINDS)]
-    listed, secret = F.filter("spans", lambda s: s["kind"] < len(pii.BASE_KINDS)), F.filter("spans", lambda s: s["kind"] == pii.KINDS.index("secret"))
-    more = [F.size(secret).cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_found")]
+    # a lambda of two parameters would get the index of the element, even where the second has a default
+    count = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    counts = [count("base", kind) for kind in pii.BASE_KINDS]
+    listed = F.filter("spans", lambda s: s["kind"] < len(pii.BASE_KINDS))
+    more = [count("spans", "secret"), F.size("spans").cast("long").alias("n_found")]
     return found.select("doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled(listed).alias("spans"), *more)
 
 
